@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import residue
+from docrisk.llm import mojibake, residue
 from docrisk.session import table
 
 
+def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, doc_id, text) of both extractions of all résumés."""
+    text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
+    raw = table(spark, sf_dir, "parsed_resumes").select(F.lit("raw_text").alias("field_name"), "doc_id", F.col("raw_text").alias("text"))
+    return text.unionByName(raw)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = resume_texts(spark, sf_dir)
+    return mojibake.affected(texts, "doc_id", "text", mojibake.fit(texts), ["field_name"])
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled records with their text as far as it can be restored."""
+    texts = resume_texts(spark, sf_dir)
+    return mojibake.restore(texts, "doc_id", "text", mojibake.fit(texts), ["field_name"]).distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return residue.with_residue_kind(docs).where("residue_kind IS NOT NULL").select("doc_id").distinct()
@@ -20,5 +38,5 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue_kind(docs).where("residue_kind IS NULL").select("doc_id", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 ORACLE_SQL: dict[str, str] = {}
