@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,18 @@ def durable(df: DataFrame) -> DataFrame:
 def small_enough_to_broadcast(rows: int, bytes_per_row: int, limit_bytes: int = 16 << 20) -> bool:
     """Whether a side of known row count may be broadcast."""
     return rows * bytes_per_row <= limit_bytes
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, unless their path or installation has it already."""
+    root = Path(__file__).resolve().parent.parent
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or root.name in ("site-packages", "dist-packages") or getattr(spark.sparkContext, "_docrisk_shipped", False):
+        return spark
+    archive = Path(tempfile.mkdtemp(prefix="docrisk-")) / "docrisk.zip"  # on the driver, which serves it to the workers
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "docrisk").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._docrisk_shipped = True
+    return spark
