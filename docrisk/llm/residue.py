@@ -14,6 +14,8 @@ Null, empty and blank texts are no cases. Repeated rows give repeated verdicts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ LATIN = (
     "nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim est laborum vastor sem quelda "
     "nullo tridem arbora gravio contesum idri pallor suneca morit faucor esta"
 ).split()
-FILLER_LATIN = rf"(?i)(?:(?<![A-Za-z])(?:{'|'.join(LATIN)})(?![A-Za-z])[\s,.;]*){{5,}}"
+FILLER_LATIN = rf"(?i)(?=[A-Z])(?<![A-Z])(?:(?:{'|'.join(LATIN)})(?![A-Z])[\s,.;]*){{5,}}"
 FILLER_REPEAT = r"([^\n]{0,12}(?:占位|示例|样例|填充|此处|在此|测试文[本字]|假文|输入)[^\n]{0,16}?)\1{2,}"
 # Grammar of the lines of error pages.
 ERROR_LINE = "|".join([
@@ -58,30 +60,43 @@ TAGS = r"</?[A-Za-z][A-Za-z0-9]{0,9}[^<>]{0,40}>"
 MAX_PAGE = 1200  # an error page's longest text; longer ones only count with two error lines in a row
 
 
+# Every placeholder holds one of these; looking for them first is cheaper than the grammars.
+PLACEHOLDER_MARKS = ("{{", "${", "<%", "{%", "[[", "#{", "__", "[Your", "[Insert", "[Enter", "[Company", "[Candidate", "[Full", "请", "在此", "此处", "待", "TODO", "FIXME", "TBD", "XX")
+
+
+def _any_of(text: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+
+
 def _undiscounted_placeholder(text: Column) -> Column:
     body = F.regexp_replace(text, r"(?s)```.*?(?:```|\z)", " ")
-    hits = F.regexp_extract_all(body, F.lit(rf"[^\n]{{0,28}}(?:{PLACEHOLDER})(?=[^\n]{{0,14}})"), F.lit(0))
-    before = F.transform(F.regexp_extract_all(body, F.lit(rf"([^\n]{{0,28}}?)(?:{PLACEHOLDER})"), F.lit(1)), lambda b: b)
+    before = F.regexp_extract_all(body, F.lit(rf"([^\n]{{0,28}}?)(?:{PLACEHOLDER})"), F.lit(1))
     after = F.regexp_extract_all(body, F.lit(rf"(?:{PLACEHOLDER})([^\n]{{0,14}})"), F.lit(1))
-    del hits
     speaks = F.zip_with(before, after, lambda b, a: F.coalesce(b.rlike(TUTORIAL_BEFORE), F.lit(False)) | F.coalesce(a.rlike(TUTORIAL_AFTER), F.lit(False)))
-    return F.when(text.rlike(PLACEHOLDER), F.exists(speaks, lambda s: ~s)).otherwise(False)
+    return F.when(_any_of(text, PLACEHOLDER_MARKS) & text.rlike(PLACEHOLDER), F.exists(speaks, lambda s: ~s)).otherwise(False)
 
 
 def _filler(text: Column) -> Column:
     return text.rlike(FILLER_LATIN) | (text.rlike("占位|示例|样例|填充|此处|在此|测试文|假文|输入") & text.rlike(FILLER_REPEAT))
 
 
+def _line_kind(line: Column) -> Column:
+    return F.when(line.rlike(f"^(?:{ERROR_LINE})$"), "e").when(line.rlike(f"^(?:{SUPPORT_LINE})$"), "s").otherwise("c")
+
+
 def _error_page(text: Column) -> Column:
     lines = F.filter(
         F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.regexp_replace(x, TAGS, ""), r"^[\s　]+|[\s　]+$", "")), lambda x: x != ""
     )
-    kinds = F.transform(lines, lambda x: F.when(x.rlike(f"^(?:{ERROR_LINE})$"), "e").when(x.rlike(f"^(?:{SUPPORT_LINE})$"), "s").otherwise("c"))
-    page = F.array_join(kinds, "")
-    content = F.aggregate(F.zip_with(kinds, lines, lambda k, x: F.when(k == "c", F.length(x)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    # a page is mostly no content, so that its longest lines can't all be content if they make up more than the share allowed
+    longest = F.slice(F.sort_array(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))), asc=False), 1, 4)
+    heavy = F.aggregate(longest, F.lit(0), lambda a, x: a + x["n"])
+    possible = (heavy * 5 <= F.length(text)) | F.exists(longest, lambda x: _line_kind(x["line"]) != "c")
+    kinds = F.transform(lines, lambda x: F.struct(_line_kind(x).alias("k"), F.length(x).alias("n")))
+    content = F.aggregate(kinds, F.lit(0), lambda a, x: a + F.when(x["k"] == "c", x["n"]).otherwise(0))
     short = F.length(text) <= MAX_PAGE
-    return F.when(short, page.contains("e") & (content * 5 <= F.length(text))).otherwise(False) | F.when(
-        ~short & text.rlike(rf"(?m)^(?:{TAGS})?(?:{ERROR_LINE})(?:{TAGS})?\s*^(?:{TAGS})?(?:{ERROR_LINE})"), True
+    return F.when(short & possible, F.exists(kinds, lambda x: x["k"] == "e") & (content * 5 <= F.length(text))).when(
+        ~short, text.rlike(rf"(?m)^(?:{TAGS})?(?:{ERROR_LINE})(?:{TAGS})?\s*^(?:{TAGS})?(?:{ERROR_LINE})")
     ).otherwise(False)
 
 
