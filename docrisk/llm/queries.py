@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import mojibake, residue
+from docrisk.llm import mojibake, personal, residue
 from docrisk.session import table
 
 
@@ -16,6 +16,29 @@ def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(raw)
 
 
+def personal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, doc_id, text) of the résumé texts and the contact cells."""
+    text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
+    cells = table(spark, sf_dir, "profile_summary")
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("手机", "邮箱")]))
+    return text.unionByName(cells.select("doc_id", cell.alias("_c")).select("_c.field_name", "doc_id", "_c.text"))
+
+
+CONTACT_CELLS = {"手机": "PHONE", "邮箱": "EMAIL"}
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal.find(personal_fields(spark, sf_dir), "doc_id", "text", "field_name", CONTACT_CELLS)
+    return spans.select("field_name", "doc_id", "pii_kind", "char_no").distinct()
+
+
+def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records with typed placeholders in place of personal information."""
+    records = personal_fields(spark, sf_dir).where("text IS NOT NULL").distinct()
+    spans = personal.find(records, "doc_id", "text", "field_name", CONTACT_CELLS)
+    return personal.mask(records, spans, "doc_id", "text", "field_name")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = resume_texts(spark, sf_dir)
     return mojibake.affected(texts, "doc_id", "text", mojibake.fit(texts), ["field_name"])
@@ -38,5 +61,5 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue_kind(docs).where("residue_kind IS NULL").select("doc_id", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 ORACLE_SQL: dict[str, str] = {}
