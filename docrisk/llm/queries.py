@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import mojibake, personal, residue
+from docrisk.llm import canonical, mojibake, personal, residue
 from docrisk.session import table
 
 
@@ -16,6 +18,24 @@ def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(raw)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = table(spark, sf_dir, "profile_summary")
+
+    def entries(name: str, columns: list[str], of: Callable[[list[tuple]], list[tuple[str, int]]]) -> DataFrame:
+        # the lists are fixed, of some hundred rows; a longer list fails here and belongs into a table of entries
+        rows = table(spark, sf_dir, name).select(*columns).limit(canonical.ONE_TREE + 1).collect()
+        if len(rows) > canonical.ONE_TREE:
+            raise ValueError(f"{name} is too long to be made into entries on the driver")
+        return spark.createDataFrame(of([tuple(r) for r in rows]) or [("", 0)], "term string, ref_id int").where("term <> ''")
+
+    titles = profiles.select(F.lit("目标岗位").alias("field_name"), "doc_id", F.lit(1).alias("part_no"), F.col("目标岗位").alias("part")).distinct()
+    parts = profiles.select("doc_id", F.posexplode(F.split("学历信息", r" \| ")).alias("k", "part"))
+    schools = parts.select(F.lit("学历信息").alias("field_name"), "doc_id", (F.col("k") + 1).alias("part_no"), "part").distinct()
+    by_title = canonical.map_values(titles, "part", entries("ref_titles", ["title_id", "title", "title_en"], canonical.title_entries), canonical.core_of_title)
+    by_school = canonical.map_values(schools, "part", entries("ref_schools", ["school_id", "school_name", "short_name"], canonical.school_entries), canonical.core_of_school, True)
+    return by_title.unionByName(by_school).select("field_name", "doc_id", F.col("part_no").cast("int").alias("part_no"), "ref_id", "part").drop("part").distinct()
+
+
 def personal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, doc_id, text) of the résumé texts and the contact cells."""
     text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
@@ -61,5 +81,5 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue_kind(docs).where("residue_kind IS NULL").select("doc_id", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 ORACLE_SQL: dict[str, str] = {}
