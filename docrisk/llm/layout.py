@@ -4,6 +4,7 @@ from __future__ import annotations
 
 LEAST_SHARE = 0.13  # of the lines that reach the page's width, give or take SLACK characters
 SLACK = 4
+OUTLIERS = 4  # per cent of the lines
 
 
 def _first_unit(line: str) -> int:
@@ -21,8 +22,9 @@ def _first_unit(line: str) -> int:
 def wrapped(lines: list[str]) -> tuple[int, list[bool]]:
     """The page width in characters (0: the text isn't wrapped), and per line whether it ends because the page does."""
     sizes = list(map(len, lines))
-    page = max(sizes, default=0)
-    near = sum(n >= page - SLACK for n in sizes)
+    # a few lines may stick out: watermarks, addresses that can't be divided
+    page = sorted(sizes, reverse=True)[max(1, len(sizes) * OUTLIERS // 100)] if len(sizes) > 1 else 0
+    near = sum(page - SLACK <= n <= page for n in sizes)
     if page < 12 or near < 4 or near < LEAST_SHARE * len(lines):
         return 0, [False] * len(lines)
     last = len(lines) - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import canonical, mojibake, personal, residue
+from docrisk.llm import canonical, mojibake, personal, residue, scan_noise
 from docrisk.session import table
 
 
@@ -18,6 +18,24 @@ def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.unionByName(raw)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = resume_texts(spark, sf_dir)
+    found = scan_noise.find(texts, "doc_id", "text", ["field_name"], scan_noise.fit(texts, "text"))
+    return found.select("field_name", "doc_id", "line_no", "noise_kind").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as continuous readable paragraphs."""
+    texts = resume_texts(spark, sf_dir)
+    return scan_noise.repair(texts, "doc_id", "text", ["field_name"], scan_noise.fit(texts, "text")).distinct()
+
+
+def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of each field have no entry in the reference list."""
+    found = p2_found(spark, sf_dir)
+    return found.groupBy("field_name", "part_no").agg(F.count("*").alias("n_parts"), F.count_if(F.col("ref_id") == 0).alias("n_unmatched"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "profile_summary")
 
@@ -81,5 +99,5 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue_kind(docs).where("residue_kind IS NULL").select("doc_id", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_unmatched": p2_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
 ORACLE_SQL: dict[str, str] = {}
