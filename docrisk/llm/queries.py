@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrisk.llm import canonical, mojibake, personal, residue, scan_noise
+from docrisk.llm import canonical, mixing, mojibake, packing, personal, residue, scan_noise
 from docrisk.session import table
 
 
@@ -88,6 +88,33 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(texts, "doc_id", "text", mojibake.fit(texts), ["field_name"]).distinct()
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and place of every text (or piece of an overlong one) for each capacity."""
+    docs = table(spark, sf_dir, "documents")
+    limits = [(r["limit_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").limit(1000).collect()]
+    return packing.pack_items(packing.token_sizes(docs, "doc_id", "text"), "doc_id", "n_tokens", limits, n_items=docs.count())
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and their fill per capacity."""
+    return packing.fill_report(p8_packed(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
+def _mix_targets(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, int]]:
+    rows = table(spark, sf_dir, "mix_targets").limit(1000).collect()
+    return {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows}
+
+
+def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mix, each as often as it is drawn."""
+    return mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", _mix_targets(spark, sf_dir))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(p9_drawn(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return residue.with_residue_kind(docs).where("residue_kind IS NOT NULL").select("doc_id").distinct()
@@ -99,5 +126,9 @@ def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.with_residue_kind(docs).where("residue_kind IS NULL").select("doc_id", F.length("text").alias("n_chars"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_unmatched": p2_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_masked": p3_masked, "p5_found": p5_found, "p5_restored": p5_restored, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {
+    "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_masked": p3_masked,
+    "p5_found": p5_found, "p5_restored": p5_restored, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_drawn": p9_drawn, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_clean": p10_clean,
+}
 ORACLE_SQL: dict[str, str] = {}
