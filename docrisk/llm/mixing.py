@@ -29,6 +29,7 @@ from docrisk.session import durable
 
 FEATURES = 4096
 BINS = 1024
+FIT_UP = 256  # records per source that are looked at to fill what the threshold leaves
 
 
 def measure(df: DataFrame, key: str, text: str, source: str, names: list[str], vocabulary: str = tokens.DEFAULT_VOCABULARY) -> DataFrame:
@@ -139,7 +140,11 @@ def draw(members: DataFrame, key: str, source: str, targets: dict[str, tuple[flo
     """(key, source, domain, draw_no, n_tokens): each record as often as it is drawn."""
     names, caps = list(targets), [float(c) for _, c in targets.values()]
     post, size = F.col("post"), F.col("n_tokens")
-    best = F.array_position(post, F.array_max(post)).cast("int")
+    # an unlabelled record stands for a source drawn from its posterior, so that the totals drawn are the expected ones
+    lot = F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    start = F.struct(F.lit(0.0).alias("c"), F.lit(1).alias("k"))
+    step = lambda a, p: F.struct((a["c"] + p).alias("c"), (a["k"] + F.when(a["c"] + p <= lot, 1).otherwise(0)).alias("k"))
+    best = F.least(F.aggregate(post, start, step)["k"], F.lit(len(names)))
     rated = (
         members.withColumn("rate", _rate(post, gradients, caps)).withColumn("domain", F.element_at(F.array(*[F.lit(n) for n in names]), best))
         .withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("int")).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
@@ -164,13 +169,19 @@ def draw(members: DataFrame, key: str, source: str, targets: dict[str, tuple[flo
     first = {n: crossing(coarse[n], want.get(n, 0.0)) for n in names}
     of_source = F.create_map(*[F.lit(x) for n in names for x in (n, first[n][0])])[F.col("domain")]
     fine = histogram(able.where((F.col("u") / BINS).cast("int") == of_source), F.pmod("u", F.lit(BINS)).cast("int"))
-    limit = {}
+    limit, missing = {}, {}
     for n in names:
-        b, rest = crossing(fine[n], first[n][1])
-        over = float(fine[n][b]) - rest  # take the record at the threshold if that comes nearer
-        limit[n] = first[n][0] * BINS + b + (1 if fine[n][b] and over < rest else 0)
+        b, missing[n] = crossing(fine[n], first[n][1])
+        limit[n] = first[n][0] * BINS + b
+    added: list[int] = []
+    for n in names:  # the record at the threshold would be too much: the next ones that still fit
+        after = able.where((F.col("domain") == n) & (F.col("u") >= limit[n]) & (size <= missing[n]))
+        for r in after.orderBy("u", key).select(key, "n_tokens").limit(FIT_UP).collect():
+            if r["n_tokens"] <= missing[n]:
+                added.append(r[key])
+                missing[n] -= r["n_tokens"]
     threshold = F.create_map(*[F.lit(x) for n in names for x in (n, limit[n])])[F.col("domain")]
-    extra = F.when((F.col("whole") < F.col("cap")) & (F.col("part") > 1e-6) & (F.col("u") < threshold), 1).otherwise(0)
+    extra = F.when((F.col("whole") < F.col("cap")) & (F.col("part") > 1e-6) & ((F.col("u") < threshold) | F.col(key).isin(added)), 1).otherwise(0)
     return (
         rated.withColumn("copies", F.col("whole") + extra).where("copies > 0")
         .select(key, source, "domain", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("draw_no"), F.col("n_tokens").cast("long").alias("n_tokens"))
@@ -192,7 +203,7 @@ def mix(df: DataFrame, key: str, text: str, source: str, targets: dict[str, tupl
 
 
 def shares(drawn: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
-    """(source, target_share, actual_share, n_draws, n_records, most_repeats, max_repeats) of a mix; unlabelled draws count for the source they most likely belong to."""
+    """(source, target_share, actual_share, n_draws, n_records, most_repeats, max_repeats) of a mix; unlabelled draws count for the source they were taken to stand for."""
     per = drawn.groupBy("domain").agg(
         F.sum("n_tokens").alias("t"), F.count("*").alias("n_draws"), F.count_if(F.col("draw_no") == 1).alias("n_records"), F.max("draw_no").alias("most_repeats")
     )
