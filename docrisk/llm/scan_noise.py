@@ -225,10 +225,12 @@ def corrections(units: DataFrame) -> DataFrame:
     u, kind = F.col("unit"), F.substring("unit", 1, 1)
     center = F.when(kind == "R", F.substring(u, 2, 1)).otherwise(F.substring(u, 3, 1))
     differences = F.broadcast(_differences(spark))  # a fixed table of some seventy rows
+    letters = F.array(*[F.lit(w) for w in sorted({w for _, w in LETTER_CONFUSIONS})])
     read = (
-        table.where("n_scan > 0")
-        .withColumn("kind", kind).withColumn("center", F.when(kind != "W", center))
-        .join(differences, F.when(F.col("wide"), F.col("wrong") == F.col("center")).otherwise((F.col("kind") == "W") & u.contains(F.col("wrong"))))
+        table.where("n_scan > 0").withColumn("kind", kind)
+        .withColumn("wrong", F.explode(F.when(F.col("kind") == "W", F.filter(letters, lambda w: F.instr(u, w) > 0)).otherwise(F.array(center))))
+        .withColumn("wide", F.col("kind") != "W")
+        .join(differences, ["wrong", "wide"])
         .withColumn("target", F.pmod(F.col("hash") + F.col("difference"), F.lit(MODULUS)))
     )
     right = table.select(F.col("unit").alias("right_unit"), F.col("hash").alias("target"), F.substring("unit", 1, 1).alias("kind"), (F.col("n_plain") + F.col("n_scan")).alias("n_right"))
