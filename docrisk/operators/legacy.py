@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docrisk import lexicon as lx
 from docrisk.functions import text
 from docrisk.operators import rules
+from docrisk.session import fenced
 
 LABELS = {key: key for key, _ in lx.DIMENSIONS if key != "professional_match"}
 YEARS = r"201[5-9]|20[23]\p{Nd}"
@@ -34,7 +35,7 @@ def _inside(lines: Column, kinds: Column, least: int, cut: int) -> Column:
 def parse(docs: DataFrame) -> DataFrame:
     """(doc_id, name, clean_text, education, work_experience, skills) of the earlier profile."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    return (
+    return fenced(
         docs.withColumn("_lines", F.transform(F.filter(F.transform(F.split(body, "\n"), text.strip), lambda x: x != ""), text.legacy_clean))
         .withColumn("clean_text", F.array_join("_lines", " "))
         .withColumn("_w", _kinds(F.col("_lines"), "工作经历|任职|职位|公司", 20)).withColumn("_s", _kinds(F.col("_lines"), "个人技能|专业技能|技术专长|擅长", 15))
@@ -68,4 +69,4 @@ def screen(parsed: DataFrame) -> DataFrame:
         rules.finding(F.size("education") == 0, "education", "no_education", 0, say("没有学历"), none),
     )).cast(rules.FINDING)
     judged = staged.withColumn("findings", found).withColumn("levels", rules.levels(F.col("findings")))
-    return rules.summarised(judged, LABELS, "；")
+    return fenced(rules.summarised(judged, LABELS, "；"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docrisk import lexicon as lx
 from docrisk.functions import dates, text
+from docrisk.session import fenced
 
 RAW_SHORT, NO_WORK, NO_EDUCATION, NO_PROJECT = "raw_short", "no_work", "no_education", "project_unsectioned"
 
@@ -80,7 +81,7 @@ def parse(docs: DataFrame) -> DataFrame:
     work = F.filter("_work", lambda x, i: dates.has_range(x) | ((first > 0) & (i >= first) & x.rlike(lx.DUTY_WORDS)))
     before = F.instr("kinds", "p")
     given = F.nullif("name", F.lit(""))
-    return (
+    return fenced(
         staged.withColumn("education", cut(education, 120))
         .withColumn("_first", F.array_position(F.transform("_work", dates.has_range), True).cast("int")).withColumn("_dated", cut(work, 140)).withColumn("_inferred", cut(F.filter("lines", inferred), 140))
         .withColumn("work_experience", F.when(F.size("_dated") > 0, F.col("_dated")).otherwise(F.col("_inferred")))

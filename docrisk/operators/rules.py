@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docrisk import lexicon as lx
 from docrisk.functions import dates, text
 from docrisk.operators.parsing import project_timeline_line
+from docrisk.session import fenced
 
 AS_OF = (2025, 6)
 FINDING = "array<struct<dimension:string,code:string,level:int,flag:string,evidence:string>>"
@@ -82,7 +83,7 @@ def screen(parsed: DataFrame, as_of: tuple[int, int] = AS_OF) -> DataFrame:
                 F.array_join(F.slice("skills", 1, 3), " | ")),
     )).cast(FINDING)
     judged = staged.withColumn("findings", found)
-    return summarised(judged.withColumn("levels", levels(F.col("findings"))))
+    return fenced(summarised(judged.withColumn("levels", levels(F.col("findings")))))
 
 
 # Fixed value: numbers that are too good.

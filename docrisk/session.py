@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "docrisk", **conf: str) -> SparkSession:
@@ -62,3 +63,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(str(archive))
     spark.sparkContext._docrisk_shipped = True
     return spark
+
+
+def fenced(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keep filters on computed columns above the projections that compute them.
+
+    The optimizer would put a filter's whole definition, lambdas within lambdas, below them and have
+    it worked out again for every element. It leaves a projection alone that isn't deterministic; the
+    key passes through unchanged, and unused columns are still pruned.
+    """
+    return df.withColumn(key, F.when(F.spark_partition_id() >= 0, F.col(key)))
