@@ -52,16 +52,11 @@ def detail(screened: DataFrame) -> DataFrame:
     )
 
 
-def _spine(screened: DataFrame) -> DataFrame:
-    return screened.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lx.LEVELS)], "overall int, level string")
-
-
 def risk_distribution(screened: DataFrame) -> DataFrame:
-    """(level, n, share) for every level; the share of an empty corpus is null."""
-    counts = screened.groupBy("overall").agg(F.count("*").alias("n"))
-    all_levels = _spine(screened).join(counts, "overall", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # three rows
-    return all_levels.withColumn("share", F.round(F.col("n") / F.nullif(total, F.lit(0)), 6))
+    """(level, n, share) for every level; the share of an empty corpus is null. One aggregation to one row, no join."""
+    row = screened.agg(F.count("*").alias("all"), *[F.count_if(F.col("overall") == i).alias(f"o{i}") for i in range(len(lx.LEVELS))])
+    each = F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"o{i}").alias("n")) for i, x in enumerate(lx.LEVELS)])
+    return row.select("all", F.explode(each).alias("r")).select("r.level", "r.n", F.round(F.col("r.n") / F.nullif("all", F.lit(0)), 6).alias("share"))
 
 
 def shortlist(screened: DataFrame, overall: int) -> DataFrame:

@@ -65,11 +65,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def fenced(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def fenced(df: DataFrame) -> DataFrame:
     """Keep filters on computed columns above the projections that compute them.
 
     The optimizer would put a filter's whole definition, lambdas within lambdas, below them and have
-    it worked out again for every element. It leaves a projection alone that isn't deterministic; the
-    key passes through unchanged, and unused columns are still pruned.
+    it worked out again for every element. It leaves a projection alone that isn't deterministic, which
+    each column is made here; values pass through unchanged, and unused columns are still pruned.
     """
-    return df.withColumn(key, F.when(F.spark_partition_id() >= 0, F.col(key)))
+    return df.select(*[F.when(F.spark_partition_id() >= 0, F.col(c)).alias(c) for c in df.columns])
