@@ -183,6 +183,11 @@ def school_entries(rows: list[tuple[int, str, str]]) -> list[tuple[str, int]]:
     return [(t.translate(_SIMPLE), ref_id) for ref_id, name, short in rows for t in (name, short) if t]
 
 
+def _matches(cores: pd.Series, got: list[tuple[int, list[int]]]) -> pd.DataFrame:
+    # lists stay objects in a frame without rows, too
+    return pd.DataFrame({"core": cores, "d": pd.Series([g[0] for g in got], dtype="int32"), "ids": pd.Series([g[1] for g in got], dtype=object)})
+
+
 def match_cores(cores: DataFrame, entries: DataFrame, prefixes: bool, one_tree: int = ONE_TREE, shards: int = 64) -> DataFrame:
     """(core, ref_id) for distinct ``core``s; ``entries`` has (term, ref_id). 0 where no entry is the one meant."""
     schema = "core string, d int, ids array<int>"
@@ -194,7 +199,7 @@ def match_cores(cores: DataFrame, entries: DataFrame, prefixes: bool, one_tree:
             tree = BKTree(sorted(pairs))
             for f in frames:
                 got = [best(tree, c, prefixes) for c in f["core"]]
-                yield pd.DataFrame({"core": f["core"], "d": [g[0] for g in got], "ids": [g[1] for g in got]})
+                yield _matches(f["core"].reset_index(drop=True), got)
 
         winners = cores.mapInPandas(run, schema)
     else:
@@ -205,7 +210,7 @@ def match_cores(cores: DataFrame, entries: DataFrame, prefixes: bool, one_tree:
         def shard(queries: pd.DataFrame, listed_: pd.DataFrame) -> pd.DataFrame:
             tree = BKTree(sorted(zip(listed_["term"], listed_["ref_id"].astype(int))))
             got = [best(tree, c, prefixes) for c in queries["core"]]
-            return pd.DataFrame({"core": queries["core"], "d": [g[0] for g in got], "ids": [g[1] for g in got]})
+            return _matches(queries["core"].reset_index(drop=True), got)
 
         found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInPandas(shard, schema)
         low = F.min("d").over(Window.partitionBy("core"))
