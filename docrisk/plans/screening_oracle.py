@@ -309,3 +309,9 @@ ORACLE_SQL |= {
     "legacy_overview": w(LEGACY, f"SELECT doc_id, name, {LABEL}[overall + 1] AS overall, {', '.join(f'{LABEL}[{k} + 1] AS {k}' for k in SIX)}, summary FROM v"),
     "legacy_totals": w(LEGACY, f"SELECT {LABEL}[overall + 1] AS level, count(*) AS n FROM v GROUP BY 1"),
 }
+ORACLE_SQL |= {
+    "path_prune": w(DOCS, """SELECT doc_id, path FROM (SELECT doc_id, '/data/' || CASE doc_id % 5 WHEN 0 THEN 'x_Extraction_debug' WHEN 1 THEN '__pycache__' ELSE 'in' END || '/' ||
+      CASE doc_id % 7 WHEN 0 THEN '~$' WHEN 1 THEN '风险评估报告-' ELSE '' END || filename AS path FROM d) WHERE doc_id % 5 > 1 AND doc_id % 7 > 1
+      AND lower(regexp_extract(path, '[.][^.]*$')) IN ('.pdf', '.docx', '.doc', '.xlsx', '.xls', '.txt') AND NOT regexp_matches(regexp_replace(path, '[.][^.]+$', ''), '风险评估报告|resume_risk_report|推荐表')"""),
+    "json_input": w(DOCS, "SELECT doc_id, coalesce(text, '') AS text, name, filename FROM d"),
+}

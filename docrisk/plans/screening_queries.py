@@ -11,6 +11,7 @@ from docrisk import lexicon as lx
 from docrisk.functions import dates, text
 from docrisk.operators import legacy, parsing, profile, reports, rules
 from docrisk.session import fenced, table
+from docrisk.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,3 +319,19 @@ def legacy_overview(spark, sf_dir):
 @query
 def legacy_totals(spark, sf_dir):
     return _legacy(spark, sf_dir).groupBy(rules.label(F.col("overall")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query
+def path_prune(spark, sf_dir):
+    folder = F.expr("CASE doc_id % 5 WHEN 0 THEN 'x_Extraction_debug' WHEN 1 THEN '__pycache__' ELSE 'in' END")
+    lock = F.expr("CASE doc_id % 7 WHEN 0 THEN '~$' WHEN 1 THEN '风险评估报告-' ELSE '' END")
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("/data/"), folder, F.lit("/"), lock, "filename").alias("path"))
+    return rows.where(files.wanted(F.col("path")))
+
+
+@query
+def json_input(spark, sf_dir):
+    as_text = F.to_json(F.array(F.struct("text", "name", "filename")))
+    as_content = F.to_json(F.struct(F.col("text").alias("content"), "name", "filename"))
+    rows = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, as_text).otherwise(as_content).alias("j"))
+    return files.json_elements(rows, "j", ["doc_id"]).select("doc_id", "text", "name", "filename")
