@@ -18,8 +18,14 @@ RAW_SHORT, NO_WORK, NO_EDUCATION, NO_PROJECT = "raw_short", "no_work", "no_educa
 
 
 def documents(df: DataFrame) -> DataFrame:
-    """Distinct (doc_id, text, name, filename); rows delivered twice count once."""
-    return df.select("doc_id", "text", "name", "filename").distinct()
+    """Distinct (doc_id, text, name, filename); rows delivered twice count once, rows without an id are kept as they are.
+
+    Only ids are shuffled to find the repeated ones, and only their rows to drop the repeats; all other
+    texts stay where they were read. The join on the repeated ids is a broadcast if they measure small.
+    """
+    rows = df.select("doc_id", "text", "name", "filename")
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
 
 
 def section(starts: tuple[str, ...]) -> Column:
