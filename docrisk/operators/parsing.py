@@ -24,6 +24,9 @@ def documents(df: DataFrame) -> DataFrame:
     texts stay where they were read. The join on the repeated ids is a broadcast if they measure small.
     """
     rows = df.select("doc_id", "text", "name", "filename")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # an input of fewer splits than cores: parsing costs more than moving it
+        rows = rows.repartition(cores, "doc_id")
     repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
 
