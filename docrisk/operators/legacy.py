@@ -19,6 +19,20 @@ EDUCATION = (
     rf"{text.DIGIT}{{4}}{text.WS}*[-–至]{text.WS}*(?:{text.DIGIT}{{4}}|{text.DIGIT}{{2}})[年.]?{text.WS}*[一-龥]{{2,10}}"
     "(?:大学|学院|学校|研究生|硕士|博士|本科|大专|中专)"
 )
+NAME_PATTERNS = (
+    rf"姓{text.WS}*名[：:{text.WS_INNER}]*([一-龥]{{2,4}})", rf"([一-龥]{{2,3}}){text.WS}{{1,3}}{text.DIGIT}{{3}}[-\p{{Nd}}]{{7,}}",
+    rf"^([一-龥]{{2,3}}){text.WS}+(?:个人简历|简历|求职)", rf"([一-龥]{{2,4}}){text.WS}{{0,3}}[_~\p{{Nd}}](?:{text.WS}|\z)",
+)
+
+
+def name_in_text(lines: Column, clean: Column) -> Column:
+    """The first line's match in the order of the patterns, else the first Chinese characters of the cleaned text's beginning.
+
+    ``lines`` still have the signs that the cleaning takes out, as two of the patterns ask for them.
+    """
+    each = F.transform(lines, lambda x: F.coalesce(*[text.capture(x, p) for p in NAME_PATTERNS]))
+    named = F.try_element_at(F.filter(each, lambda x: x.isNotNull()), F.lit(1))
+    return F.coalesce(named, text.capture(F.substring(clean, 1, 200), "([一-龥]{2,4})"), F.lit(lx.UNKNOWN))
 
 
 def _kinds(lines: Column, words: str, below: int) -> Column:
@@ -36,12 +50,12 @@ def parse(docs: DataFrame) -> DataFrame:
     """(doc_id, name, clean_text, education, work_experience, skills) of the earlier profile."""
     body = F.coalesce(F.col("text"), F.lit(""))
     return fenced(
-        docs.withColumn("_lines", F.transform(F.filter(F.transform(F.split(body, "\n"), text.strip), lambda x: x != ""), text.legacy_clean))
+        docs.withColumn("_stripped", F.filter(F.transform(F.split(body, "\n"), text.strip), lambda x: x != "")).withColumn("_lines", F.transform("_stripped", text.legacy_clean))
         .withColumn("clean_text", F.array_join("_lines", " "))
         .withColumn("_w", _kinds(F.col("_lines"), "工作经历|任职|职位|公司", 20)).withColumn("_s", _kinds(F.col("_lines"), "个人技能|专业技能|技术专长|擅长", 15))
         .withColumn("education", F.transform(F.filter("_lines", lambda x: x.rlike(EDUCATION)), lambda x: F.substring(x, 1, 80)))
         .withColumn("work_experience", _inside(F.col("_lines"), F.col("_w"), 10, 100)).withColumn("skills", _inside(F.col("_lines"), F.col("_s"), 0, 80))
-        .select("doc_id", F.coalesce(F.nullif("name", F.lit("")), F.lit(lx.UNKNOWN)).alias("name"), "clean_text", "education", "work_experience", "skills")
+        .select("doc_id", F.coalesce(F.nullif("name", F.lit("")), name_in_text(F.col("_stripped"), F.col("clean_text"))).alias("name"), "clean_text", "education", "work_experience", "skills")
     )
 
 

@@ -2,9 +2,11 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from docrisk.operators import legacy, parsing, profile, reports, rules
@@ -61,6 +63,38 @@ def test_profile_and_legacy(spark):
     assert legacy.screen(legacy.parse(df)).count() == 2
 
 
+LEGACY_NAMES = {
+    "求职意向\n姓 名：　周小舟\n张三 13812345678": "周小舟",  # gap and wide colon; lines come before patterns
+    "张三 138-1234-5678": "张三", "欧阳小舟 13812345678": "阳小舟", "李四　个人简历": "李四", "王小明~ 女": "王小明", "赵六 7": "赵六",
+    "~`;(孙) 七\n钱八九十一": "钱八九十", "": "未知", None: "未知", "resume only": "未知", "x" * 200 + "吴九": "未知", "x" * 198 + "吴九": "吴九",
+    "甲乙 个人简历\n丙丁 13812345678": "甲乙", "甲乙 个人简历 丙丁 13812345678": "丙丁",
+}
+
+
+def test_legacy_name(spark):
+    df = spark.createDataFrame([(i, t, None if i % 2 else "", None) for i, t in enumerate(LEGACY_NAMES)] + [(99, "姓名：周小舟", "甲", None)], SCHEMA)
+    rows = {r["doc_id"]: r["name"] for r in legacy.parse(df).collect()}
+    assert [rows[i] for i in range(len(LEGACY_NAMES))] == list(LEGACY_NAMES.values()) and rows[99] == "甲"
+
+
+def legacy_name(text):
+    """By Python's regular expressions, line by line."""
+    lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
+    patterns = [r"姓\s*名[：:\s]*([一-龥]{2,4})", r"([一-龥]{2,3})\s{1,3}\d{3}[-\d]{7,}", r"^([一-龥]{2,3})\s+(?:个人简历|简历|求职)", r"([一-龥]{2,4})\s{0,3}[_~\d](?:\s|$)"]
+    found = [m[1] for x in lines for m in [next(filter(None, (re.search(p, x) for p in patterns)), None)] if m]
+    start = re.search("[一-龥]{2,4}", " ".join(re.sub("[~`();•–-]", "", x).strip() for x in lines)[:200])
+    return found[0] if found else start[0] if start else "未知"
+
+
+def test_legacy_name_of_all_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    docs = parsing.documents(spark.read.parquet(f"{sf}/resumes_for_analysis.parquet")).withColumn("name", F.lit(None).cast("string")).persist()
+    want = sorted((r["doc_id"], legacy_name(r["text"])) for r in docs.collect())
+    assert sorted((r["doc_id"], r["name"]) for r in legacy.parse(docs).collect()) == want
+
+
 @pytest.mark.parametrize("name", ["section_extract", "work_lines", "overall_risk", "report_detail", "medium_by_dimension", "profile_summary", "legacy_findings", "summary_stats"])
 def test_against_duckdb(spark, name):
     sf = "/root/testdata/sf0.001"
