@@ -56,8 +56,7 @@ SUPPORT_LINE = "|".join([
     r"upstream .{0,60}", r"给您带来不便.{0,12}", r"(?:请|如有|推荐|建议|点击|或)(?:联系|让|完成|使用|返回|稍后|重新|刷新|检查|疑问|升级).{0,36}", r"\d+ ?秒后.{0,20}", r"(?:返回|刷新|首页|重试|联系客服|重新登录)",
     r"(?:[^\s，。；：:,;|>·/]{1,10})(?:(?: {1,3}| ?[|>·/›»] ?)[^\s，。；：:,;|>·/]{1,10}){2,8}", r"Please .{0,60}", r"Try again.{0,40}", r"Go back.{0,40}", r"[-=_*]{3,}",
 ])
-TAGS = r"</?[A-Za-z][A-Za-z0-9]{0,9}[^<>]{0,40}>"
-MAX_PAGE = 1200  # an error page's longest text; longer ones only count with two error lines in a row
+TAGS = r"</?[A-Za-z][A-Za-z0-9]{0,9}[^<>\r\n]{0,40}>"
 
 
 # Every placeholder holds one of these; looking for them first is cheaper than the grammars.
@@ -85,19 +84,16 @@ def _line_kind(line: Column) -> Column:
 
 
 def _error_page(text: Column) -> Column:
-    lines = F.filter(
-        F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.regexp_replace(x, TAGS, ""), r"^[\s　]+|[\s　]+$", "")), lambda x: x != ""
-    )
-    # a page is mostly no content, so that its longest lines can't all be content if they make up more than the share allowed
-    longest = F.slice(F.sort_array(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))), asc=False), 1, 4)
-    heavy = F.aggregate(longest, F.lit(0), lambda a, x: a + x["n"])
-    possible = (heavy * 5 <= F.length(text)) | F.exists(longest, lambda x: _line_kind(x["line"]) != "c")
+    plain = F.when(text.contains("<"), F.regexp_replace(text, TAGS, "")).otherwise(text)
+    lines = F.filter(F.transform(F.split(plain, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[\s　]+|[\s　]+$", "")), lambda x: x != "")
+    # both rules ask for an error line; looking for one first is cheaper than the kinds of all lines
+    possible = plain.rlike(rf"(?m)^[ \t\x0B\f　]*(?:{ERROR_LINE})[ \t\x0B\f　]*$")
     kinds = F.transform(lines, lambda x: F.struct(_line_kind(x).alias("k"), F.length(x).alias("n")))
     content = F.aggregate(kinds, F.lit(0), lambda a, x: a + F.when(x["k"] == "c", x["n"]).otherwise(0))
-    short = F.length(text) <= MAX_PAGE
-    return F.when(short & possible, F.exists(kinds, lambda x: x["k"] == "e") & (content * 5 <= F.length(text))).when(
-        ~short, text.rlike(rf"(?m)^(?:{TAGS})?(?:{ERROR_LINE})(?:{TAGS})?\s*^(?:{TAGS})?(?:{ERROR_LINE})")
-    ).otherwise(False)
+    # the second of two lines may go on after the error, unless it is only a number that it begins with
+    pair = plain.rlike(rf"(?m)^[ \t\x0B\f　]*(?:{ERROR_LINE})\s*^[ \t\x0B\f　]*(?:{ERROR_LINE.split('|', 1)[1]})")
+    letters = F.array_join(F.transform(kinds, lambda x: x["k"]), "")
+    return F.when(possible, letters.contains("ee") | pair | (letters.contains("e") & (content * 5 <= F.length(text)))).otherwise(False)
 
 
 def with_residue_kind(df: DataFrame, text: str = "text") -> DataFrame:

@@ -167,3 +167,19 @@ def test_residue(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "doc_id long, text string").withColumn("extra", F.lit(1))
     rows = {r["doc_id"]: r["residue_kind"] for r in residue.with_residue_kind(df).collect()}
     assert [rows[i] for i in range(len(cases))] == list(cases.values()) and rows[99] is None
+
+
+def test_error_pages_of_any_length(spark):
+    trace = "Traceback (most recent call last):\n" + '  File "/srv/app/views.py", line 12, in show\n' * 40 + "KeyError: 'resume'\n请稍后重试"
+    part = "HTTP 404\n抱歉，您访问的页面不存在\n"
+    content = "负责数据平台的任务调度与质量监控，按时产出\n"
+    cases = {
+        trace: "error_page", trace[:600]: "error_page", part + content * 3: "error_page", part + content * 90: "error_page",
+        "<p>HTTP 404</p>\n\n  <p>抱歉，您访问的页面不存在</p>\n" + content * 90: "error_page", "HTTP 404\n" + content * 3: None, "HTTP 404\n" + content * 90: None,
+        "HTTP 404\nSorry, " + "the resource that you asked for is elsewhere " * 3 + "\n" + content * 90: "error_page", "450\n5000 万条记录\n" + content * 3: None,
+        "HTTP 404\n" + content + "抱歉，您访问的页面不存在\n" + content * 90: None, content * 90: None,
+    }
+    assert len(trace) > 1200
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["residue_kind"] for r in residue.with_residue_kind(df).collect()}
+    assert [rows[i] for i in range(len(cases))] == list(cases.values())
