@@ -72,6 +72,17 @@ def test_find_and_mask(spark):
     assert personal.find(df.where("false"), "doc_id", "text", "field_name", {}).count() == 0
 
 
+def test_bare_names_anywhere(spark):
+    duties = "负责数据平台的任务调度与质量监控，按时产出\n" * 30
+    rows = [("text", i, f"周小舟\n男 | 3{i % 10}岁\n{duties}技能\n金融\n石油") for i in range(30)]
+    rows += [("text", 100, "\n" * 12 + "孙小舟\n男 | 30岁"), ("text", 101, "内部资料\n请勿外传\n第一页\n机密文件\n孙小舟\n电话 见附件"), ("text", 102, f"孙小舟\n男 | 30岁\n{duties}孙小舟\n{duties}金融\n石油")]
+    found = personal.find(spark.createDataFrame(rows, TEXT), "doc_id", "text", "field_name", {}).where("pii_kind = 'NAME'").collect()
+    spans = {(r["doc_id"], dict((i, t) for _, i, t in rows)[r["doc_id"]][r["char_no"] : r["char_end"]], r["char_no"]) for r in found}
+    later = rows[-1][2].rindex("孙小舟")
+    assert {x for x in spans if x[0] >= 100} == {(100, "孙小舟", 12), (101, "孙小舟", 19), (102, "孙小舟", 0), (102, "孙小舟", later)}
+    assert {x[1] for x in spans} == {"周小舟", "孙小舟"} and len(spans) == 34
+
+
 # --- wrong encodings -------------------------------------------------------------------------------
 LINES = ["负责数据平台的任务调度与质量监控", "按时产出率由六成提高到九成", "工作经历和项目经验完整可查", "熟悉报表开发以及需求分析"]
 
