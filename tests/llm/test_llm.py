@@ -194,3 +194,51 @@ def test_error_pages_of_any_length(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     rows = {r["doc_id"]: r["residue_kind"] for r in residue.with_residue_kind(df).collect()}
     assert [rows[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_placeholders_of_every_pair_and_their_discounts(spark):
+    cases = {
+        "尊敬的«客户姓名»：": 1, "Dear ‹First Name›,": 1, "到岗时间 #开始日期#": 1, "公司：<单位名称>": 1, "电话：%手机号码%": 1, "{order.id} 已发出": 1, "致 @收件人@": 1, "[Recipient address]": 1, "签约方__公司__": 1, "第{1}期": 1,
+        "名单：$CLIENT_NAME$": 1, "{{ a.b }} 与 {{ c }}，附表": 1, "说明«姓名»\n支持 ${name} 形式的占位符": 1, "«姓名»\n" * 3 + "结论": 1,
+        "熟悉 List<name> 与 Map<id>": 0, "达标率由70%提高到80%": 0, "set %JAVA_HOME%\\bin": 0, "见 [Contact](x.html)": 0, "[工作经历]": 0, "<b>职责</b>": 0, "《城市地址》": 0, r"\frac{1}{2} 与 x_{0}，\d{2}": 0, "a[3]{2}": 0,
+        "标题用 %city% 与 #city# 两种写法": 0, "字段写作 `{name}` 即可": 0, "形如 <姓名> 的": 0, "能读懂 {0} 格式串": 0, "#春节快乐#": 0, "a@name.example": 0, "请补充材料": 0,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["residue_kind"] for r in residue.with_residue_kind(df).collect()}
+    assert {t: int(rows[i] == "placeholder") for i, t in enumerate(cases)} == cases
+
+
+def _periodic(text, longest=64):
+    """Brute force: some unit said at least three times in a row, 20 letters or digits in all."""
+    s = [c for c in text if c.isalnum()]
+    runs = [(i, p) for p in range(1, longest + 1) for i in range(len(s) - p - max(20 - p, 2 * p) + 1) if all(s[i + k] == s[i + k + p] for k in range(max(20 - p, 2 * p)))]
+    return any(p <= 16 or residue.ANNOUNCED.search("".join(s[i : i + 2 * p])) for i, p in runs)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("甲乙a1 ，\n", max_size=9) | st.sampled_from(["这里放一段今后要由别人来补的文字", "Insert your own text here please."]), st.integers(0, 12), st.text("丙x7。", max_size=60)), max_size=6))
+def test_repetition_against_brute_force(parts):
+    texts = [unit * n + tail for unit, n, tail in parts]
+    assert residue.repeating(texts).tolist() == [_periodic(t) for t in texts]
+
+
+def test_repeating_across_pieces():
+    filler = "".join(chr(0x4E00 + random.Random(3).randrange(9000) + i) for i in range(15))
+    texts = [chr(0x4E00 + i % 9000) * 0 + "".join(chr(0x4E00 + (i * 7919 + k * 104729) % 15000) for k in range(5000)) for i in range(20)]
+    for at in range(0, 20, 3):
+        texts[at] = texts[at][:1000] + filler * 3 + texts[at][1000:]
+    assert residue.repeating(texts).tolist() == [i % 3 == 0 for i in range(20)]
+    assert residue.repeating([]).tolist() == [] and residue.repeating(["", "a"]).tolist() == [False, False]
+
+
+def test_filler_that_no_list_names(spark):
+    rng = random.Random(5)
+    own = ["zorbu", "fenati", "quorimo", "baldis", "trevano", "ulmiser", "kadento", "pravico"]  # invented here
+    sentence = lambda words: " ".join(rng.choices(words, k=12)).capitalize() + "."
+    rows = [(i, "岗位职责\n" + sentence(own + ["lorem", "ipsum", "velit"])) for i in range(40)]
+    rows += [(100, "自我评价\n" + sentence(own)), (101, "摸鱼" * 15), (102, "qwer uiop " * 9), (103, "Built the reporting layer of a warehouse with Kafka and Hive"), (104, "哈哈哈哈"), (105, "Java Scala Go Rust Python Kotlin Swift")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = {r["doc_id"]: r["residue_kind"] for r in residue.with_residue_kind(df).collect()}
+    assert all(kinds[i] == "filler" for i in range(40)) and [kinds[i] for i in range(100, 106)] == ["filler"] * 3 + [None] * 3
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert residue.with_residue_kind(empty).count() == 0
