@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk.llm import canonical, mixing, mojibake, packing, personal, residue, scan_noise
 from docrisk.session import table
 
 
+#: Settings are a handful of rows; a table of more is a mistake and is refused, not cut.
+MOST_SETTINGS = 1000
+
+
+def few(settings: DataFrame) -> list[Row]:
+    rows = settings.limit(MOST_SETTINGS + 1).collect()
+    if len(rows) > MOST_SETTINGS:
+        raise ValueError(f"a table of settings has more than {MOST_SETTINGS} rows")
+    return rows
+
+
 def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, doc_id, text) of both extractions of all résumés."""
     text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
@@ -39,18 +50,13 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "profile_summary")
 
-    def entries(name: str, columns: list[str], of: Callable[[list[tuple]], list[tuple[str, int]]]) -> DataFrame:
-        # the lists are fixed, of some hundred rows; a longer list fails here and belongs into a table of entries
-        rows = table(spark, sf_dir, name).select(*columns).limit(canonical.ONE_TREE + 1).collect()
-        if len(rows) > canonical.ONE_TREE:
-            raise ValueError(f"{name} is too long to be made into entries on the driver")
-        return spark.createDataFrame(of([tuple(r) for r in rows]) or [("", 0)], "term string, ref_id int").where("term <> ''")
-
     titles = profiles.select(F.lit("目标岗位").alias("field_name"), "doc_id", F.lit(1).alias("part_no"), F.col("目标岗位").alias("part")).distinct()
     parts = profiles.select("doc_id", F.posexplode(F.split("学历信息", r" \| ")).alias("k", "part"))
     schools = parts.select(F.lit("学历信息").alias("field_name"), "doc_id", (F.col("k") + 1).alias("part_no"), "part").distinct()
-    by_title = canonical.map_values(titles, "part", entries("ref_titles", ["title_id", "title", "title_en"], canonical.title_entries), canonical.core_of_title)
-    by_school = canonical.map_values(schools, "part", entries("ref_schools", ["school_id", "school_name", "short_name"], canonical.school_entries), canonical.core_of_school, True)
+    title_entries = canonical.title_entries(table(spark, sf_dir, "ref_titles"), "title_id", "title", "title_en")
+    school_entries = canonical.school_entries(table(spark, sf_dir, "ref_schools"), "school_id", ["school_name", "short_name"])
+    by_title = canonical.map_values(titles, "part", title_entries, canonical.core_of_title)
+    by_school = canonical.map_values(schools, "part", school_entries, canonical.core_of_school, True)
     return by_title.unionByName(by_school).select("field_name", "doc_id", F.col("part_no").cast("int").alias("part_no"), "ref_id", "part").drop("part").distinct()
 
 
@@ -91,7 +97,7 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Container and place of every text (or piece of an overlong one) for each capacity."""
     docs = table(spark, sf_dir, "documents")
-    limits = [(r["limit_name"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_limits").limit(1000).collect()]
+    limits = [(r["limit_name"], r["capacity_tokens"]) for r in few(table(spark, sf_dir, "pack_limits"))]
     return packing.pack_items(packing.token_sizes(docs, "doc_id", "text"), "doc_id", "n_tokens", limits, n_items=docs.count())
 
 
@@ -101,8 +107,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix_targets(spark: SparkSession, sf_dir: str) -> dict[str, tuple[float, int]]:
-    rows = table(spark, sf_dir, "mix_targets").limit(1000).collect()
-    return {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows}
+    return {r["source"]: (r["target_share"], r["max_repeats"]) for r in few(table(spark, sf_dir, "mix_targets"))}
 
 
 def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,37 @@ def test_map_values(spark):
     assert sharded == {"数据开发工程狮": 1, "无": 0}
 
 
+def test_shards_agree_with_one_tree(spark):
+    rng = random.Random(4)
+    word = lambda low, high: "".join(rng.choices("甲乙丙丁戊", k=rng.randrange(low, high)))
+    terms = [("abcdefgh", 1), ("abcd", 2), *((word(2, 9), i) for i in range(3, 90))]
+    asked = ["abcdefgx", "abcdxyz", *(word(1, 13) for _ in range(150)), *(t + word(1, 4) for t, _ in terms)]
+    entries, cores = spark.createDataFrame(terms, "term string, ref_id int"), spark.createDataFrame([(c,) for c in sorted(set(asked))], "core string")
+    for prefixes in (True, False):
+        one = {r["core"]: r["ref_id"] for r in canonical.match_cores(cores, entries, prefixes).collect()}
+        many = {r["core"]: r["ref_id"] for r in canonical.match_cores(cores, entries, prefixes, one_tree=30).collect()}
+        assert one == many and one["abcdefgx"] == 1 and (not prefixes or one["abcdxyz"] == 2)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("甲乙丙", max_size=7), st.text("甲乙丙", max_size=6))
+def test_distances_of_beginnings(a, b):
+    assert canonical.distances(a, b) == [canonical.distances(a[:i], b)[-1] for i in range(len(a) + 1)]
+    assert canonical.distance(a, b) == canonical.distance(b, a) == osa_free(a, b) if len(a) <= 3 and len(b) <= 3 else True
+
+
+def test_short_forms_and_tails_come_from_the_data(spark):
+    titles = spark.createDataFrame([(1, "陶艺烧制匠人", "Potter"), (2, "木器雕刻匠人", "Carver"), (3, "驿站信使", None), (4, None, None)], "i int, t string, e string")
+    assert {(r["term"], r["ref_id"]) for r in canonical.title_entries(titles, "i", "t", "e").collect()} == {
+        ("陶艺烧制匠人", 1), ("陶艺烧制", 1), ("potter", 1), ("木器雕刻匠人", 2), ("木器雕刻", 2), ("carver", 2), ("驿站信使", 3)}
+    entries = spark.createDataFrame([("青石大学", 1), ("白川大学", 2), ("红叶大学", 3), ("青石大学医学院", 4)], "term string, ref_id int")
+    cores = [(a + "大学" + t,) for a in ("青石", "白川", "红叶") for t in ("", "园艺", "天文")] + [("青石太学园艺",), ("青石大学医学院",)]
+    assert canonical.learn_tails(spark.createDataFrame(cores, "core string"), entries) == ["园艺", "天文"]
+    values = spark.createDataFrame([(1, "青石太学园艺"), (2, "白川大学天文"), (3, "青石大学医学院"), (4, "天文")] + [(9 + i, c[0]) for i, c in enumerate(cores)], "doc_id long, part string")
+    got = {r["doc_id"]: r["ref_id"] for r in canonical.map_values(values, "part", entries, canonical.core_of_school, True).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [1, 2, 4, 0]
+
+
 # --- personal information --------------------------------------------------------------------------
 def test_spans():
     text = "姓名：欧阳小舟，女\n电话：+86 138 1234 5678 邮箱 a.b＠c.example\n身份证110101-19900307-7715\n住址：青石市东区听松街12号3栋401室 附近\n合同流水号 110101199013077715\n累计处理 13812345678 条记录\n登录 root@node"
