@@ -1,7 +1,10 @@
 """Packed values, timestamps and intervals on small fixtures with results worked out by hand."""
 
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +111,38 @@ def test_experience_spans(spark):
     rows = {(r["doc_id"], r["span_kind"], r["from_month"], r["to_month"]) for r in intervals.experience_spans(df, ["work"]).collect()}
     y = 2001 * 12
     assert rows == {(1, "period", y + 1, y + 3), (1, "gap", y + 4, y + 4), (1, "period", y + 5, 2025 * 12 + 6)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_final_merge_in_any_batches(size):
+    """One linear pass over sorted rows, whatever batches they come in, keys being strings, numbers and nulls."""
+    rng = random.Random(size)
+    keys = [("a", 1), ("a", None), ("b", 1), (None, 2)]
+    rows = [(*k, a := rng.randrange(-30, 60), a + rng.randrange(6)) for k in keys for _ in range(rng.randrange(1, 25))]
+    rows.sort(key=lambda r: (keys.index(r[:2]), r[2]))
+    schema = pa.schema([("k", pa.string()), ("n", pa.int64()), ("_s", pa.int32()), ("_e", pa.int32())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), schema.types)], schema=schema) for i in range(0, len(rows), size)]
+    got = [((k, n), [("period", x["s"], x["e"]) for x in spans]) for b in intervals._final(2, ["k", "n", "spans"])(iter(batches)) for k, n, spans in zip(*(c.to_pylist() for c in b.columns))]
+    want = {k: [x for x in brute([(s, e) for *q, s, e in rows if tuple(q) == k]) if x[0] == "period"] for k in keys}
+    assert len(got) == len(keys) and dict(got) == want
+    assert list(intervals._final(2, ["k", "n", "spans"])(iter([]))) == []
+
+
+def test_merging_is_linear():
+    times = []
+    for n in (200_000, 1_600_000):
+        s = np.arange(n, dtype=np.int64) * 3
+        began = time.process_time()
+        intervals.disjoint(np.zeros(n, np.int64), s, s + 1)
+        times.append(time.process_time() - began + 1e-3)
+    assert times[1] < 8 * 4 * times[0]  # eight times the intervals; a quadratic merge takes 64 times as long
+
+
+def test_skeletons_are_few_and_names_are_protected(spark):
+    assert len(packed_values.rules()) == 65 and dict(packed_values.rules())["bd"] == "dwn" and dict(packed_values.rules())["b"] == "dwnb"
+    many = ["a/b" + str(i) for i in range(3000)] + ["A-B", "A-BC", "x+"]
+    df = spark.createDataFrame([(1, "a/b7/a/b2999、A-BC A-B"), (2, "A-BCD、x+/y"), (3, "a/b12 a/b1")], "doc_id long, cell string")
+    got = {}
+    for r in sorted(packed_values.split_values(df, "cell", many, ["doc_id"]).collect(), key=lambda r: (r["doc_id"], r["item_no"])):
+        got.setdefault(r["doc_id"], []).append(r["item_text"])
+    assert got == {1: ["a/b7", "a/b2999", "A-BC A-B"], 2: ["A-BCD", "x+", "y"], 3: ["a/b12", "a/b1"]}
