@@ -7,28 +7,45 @@ expression over its prefix says which section a line is in). No shuffle and no P
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrisk import lexicon as lx
 from docrisk.functions import dates, text
-from docrisk.session import fenced
+from docrisk.session import fenced, small_enough_to_broadcast
 
-RAW_SHORT, NO_WORK, NO_EDUCATION, NO_PROJECT = "raw_short", "no_work", "no_education", "project_unsectioned"
+# What is wrong with a parse, in the words of the reports.
+RAW_SHORT, NO_WORK, NO_EDUCATION, NO_PROJECT = "文本抽取内容较短", "未识别到工作经历", "未识别到教育经历", "项目经历标题存在但未成功分区"
 
 
 def documents(df: DataFrame) -> DataFrame:
     """Distinct (doc_id, text, name, filename); rows delivered twice count once, rows without an id are kept as they are.
 
-    Only ids are shuffled to find the repeated ones, and only their rows to drop the repeats; all other
-    texts stay where they were read. The join on the repeated ids is a broadcast if they measure small.
+    Of a table of files, the surplus deliveries are found by their places (file and row) in a pass over the short
+    columns: the first row of an id, name and file name stays. Texts are read once and never shuffled while
+    the surplus measures small enough to be a broadcast. Other inputs have no places; there, repeated ids are
+    looked for and their rows, whole texts included, made distinct.
     """
     rows = df.select("doc_id", "text", "name", "filename")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:  # an input of fewer splits than cores: parsing costs more than moving it
-        rows = rows.repartition(cores, "doc_id")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
+    few_splits = rows.rdd.getNumPartitions() < cores  # then parsing costs more than moving the texts
+    try:
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        placed = df.select("doc_id", "text", "name", "filename", place.alias("_place"))
+    except AnalysisException:
+        rows = rows.repartition(cores, "doc_id") if few_splits else rows
+        repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+        return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
+    ids = placed.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("name", "filename").alias("_named"), "_place")
+    first = ids.groupBy("doc_id", "_named").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    surplus = ids.join(first, ["doc_id", "_named"]).where("_place > _first").select("_place")
+    n = surplus.count()
+    if not n:
+        kept = rows
+    else:
+        kept = placed.join(F.broadcast(surplus) if small_enough_to_broadcast(n, 48) else surplus, "_place", "left_anti").drop("_place")
+    return kept.repartition(cores) if few_splits else kept
 
 
 def section(starts: tuple[str, ...]) -> Column:

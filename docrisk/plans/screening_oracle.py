@@ -117,8 +117,8 @@ p3 AS (SELECT *, CASE WHEN len(dated) > 0 THEN dated ELSE inferred END AS work,
   coalesce({LINE_NAME}, {grab('left(clean, 200)', '([一-龥]{2,4})')}, '未知') AS name_in_text FROM p2),
 p4 AS (SELECT *, CASE WHEN pi IS NULL THEN raw ELSE array_to_string(list_slice(lines, 1, pi - 1), chr(10)) END AS before,
   coalesce(nullif(name, ''), {grab('filename', FILE_NAME)}, name_in_text) AS full_name, coalesce(filename, '') AS file,
-  list_filter([CASE WHEN length(raw) < 300 THEN 'raw_short' END, CASE WHEN len(work) = 0 THEN 'no_work' END, CASE WHEN len(education) = 0 THEN 'no_education' END,
-    CASE WHEN contains(raw, '项目经历') AND len(project) = 0 THEN 'project_unsectioned' END], lambda y: y IS NOT NULL) AS warnings FROM p3),
+  list_filter([CASE WHEN length(raw) < 300 THEN '文本抽取内容较短' END, CASE WHEN len(work) = 0 THEN '未识别到工作经历' END, CASE WHEN len(education) = 0 THEN '未识别到教育经历' END,
+    CASE WHEN contains(raw, '项目经历') AND len(project) = 0 THEN '项目经历标题存在但未成功分区' END], lambda y: y IS NOT NULL) AS warnings FROM p3),
 p AS (SELECT *, CASE WHEN len(warnings) >= 2 THEN '较差' WHEN len(warnings) = 1 THEN '需复核' ELSE '正常' END AS quality FROM p4)"""
 RANGES = (
     f"list_filter(list_transform(work, lambda y, i: {{'s': least({month(f'regexp_extract(y, {q(RANGE)}, 1)')}, {month(f'regexp_extract(y, {q(RANGE)}, 2)')}), 'i': i - 1,"
@@ -238,7 +238,7 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT 'medium_with_parse_issue', CAST(count(*) FILTER (WHERE {ISSUE}) AS VARCHAR) FROM s"""),
     "console_digest": w(SCREENED, "SELECT doc_id, ['🟢', '🟡', '🔴'][overall + 1] || ' ' || full_name || ' - ' || summary AS line FROM s"),
     "run_reply": w(SCREENED, f"""SELECT '共 ' || count(*) || ' 份；高风险 ' || count(*) FILTER (WHERE overall = 2) || '，中风险 ' || count(*) FILTER (WHERE overall = 1) || '，低风险 ' || count(*) FILTER (WHERE overall = 0)
-      || '；解析正常 ' || count(*) FILTER (WHERE quality = '正常') || '，需复核 ' || count(*) FILTER (WHERE quality = '需复核') || '，较差 ' || count(*) FILTER (WHERE quality = '较差') || '；中风险中解析存疑 ' || count(*) FILTER (WHERE {ISSUE}) AS reply FROM s"""),
+      || '；解析正常 ' || count(*) FILTER (WHERE quality = '正常') || '，需复核 ' || count(*) FILTER (WHERE quality = '需复核') || '，较差 ' || count(*) FILTER (WHERE quality = '较差') || '；中风险中解析存疑 ' || count(*) FILTER (WHERE {ISSUE}) || '；主要中风险维度：' || coalesce((SELECT string_agg(dimension || ' ' || n, '、' ORDER BY place) FROM ({BY_DIMENSION})), '无') AS reply FROM s"""),
     "safe_stem": w(DOCS, rf"""SELECT doc_id, coalesce(nullif(trim({sub("CASE WHEN regexp_matches(b, '^.+[.][^.]+$') AND NOT regexp_matches(b, '^[.]+[^.]*$') THEN regexp_replace(b, '[.][^.]+$', '') ELSE b END", '[<>:"/\\|?*\x00-\x1f]+', '_')}, ' ._'), ''), 'document-' || doc_id) AS stem
       FROM (SELECT doc_id, list_last(string_split(coalesce(nullif(filename, ''), 'document-' || doc_id), '/')) AS b FROM d)"""),
 }
@@ -279,8 +279,13 @@ def under(words: str, below: int, least: int, cut: int) -> str:
 
 
 SIX = [k for k in KEYS if k != "professional_match"]
-LEGACY = f"""{DOCS}, v0 AS (SELECT doc_id, coalesce(nullif(name, ''), '未知') AS name, list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {strip('y')}), lambda y: y <> ''),
-  lambda y: {strip(sub('y', '[~`();•–-]'))}) AS v FROM d),
+LEGACY_NAMES = (
+    f"姓{WS}*名[：:{WSI}]*([一-龥]{{2,4}})", rf"([一-龥]{{2,3}}){WS}{{1,3}}{D}{{3}}[-\p{{Nd}}]{{7,}}", f"^([一-龥]{{2,3}}){WS}+(?:个人简历|简历|求职)", rf"([一-龥]{{2,4}}){WS}{{0,3}}[_~\p{{Nd}}](?:{WS}|$)",
+)
+LEGACY_LINE_NAME = f"list_first(list_filter(list_transform(stripped, lambda y: coalesce({', '.join(grab('y', x) for x in LEGACY_NAMES)})), lambda y: y IS NOT NULL))"
+LEGACY = f"""{DOCS}, v00 AS (SELECT *, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda y: {strip('y')}), lambda y: y <> '') AS stripped FROM d),
+v01 AS (SELECT *, list_transform(stripped, lambda y: {strip(sub('y', '[~`();•–-]'))}) AS v FROM v00),
+v0 AS (SELECT doc_id, v, coalesce(nullif(name, ''), {LEGACY_LINE_NAME}, {grab("left(array_to_string(v, ' '), 200)", '([一-龥]{2,4})')}, '未知') AS name FROM v01),
 v1 AS (SELECT *, array_to_string(v, ' ') AS clean, list_transform(list_filter(v, lambda y: {has('y', LEGACY_EDUCATION)}), lambda y: left(y, 80)) AS education_lines,
   {under('工作经历|任职|职位|公司', 20, 10, 100)} AS work, {under('个人技能|专业技能|技术专长|擅长', 15, 0, 80)} AS skills FROM v0),
 v2 AS (SELECT *, list_distinct(regexp_extract_all(clean, {q(f'201[5-9]|20[23]{D}')})) AS ys, len(regexp_extract_all(clean, {q(PERFECT.replace('至?', '了'))})) AS perfect, {' + '.join(times('clean', x) for x in lx.LEGACY_PHRASES)} AS phrases FROM v1),
