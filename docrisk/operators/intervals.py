@@ -142,9 +142,12 @@ def periods_and_gaps(merged: DataFrame, key: list[str], start: str = "from_month
 
 
 def line_intervals(df: DataFrame, fields: list[str], key: str, as_of: tuple[int, int] = (2025, 6), zone: str = ts.CANDIDATE_ZONES[0]) -> DataFrame:
-    """(field_name, key, from_month, to_month) of each dated line; an open end is ``as_of``."""
+    """(field_name, key, from_month, to_month) of each dated line, months being those of ``zone``; an open end is ``as_of``.
+
+    A column ``_home`` (``timestamps.with_zone``) gives the zone of times without one.
+    """
     now = as_of[0] * 12 + as_of[1]
-    dated = ts.normalise(ts.date_tokens(df, fields, [key]), zone)
+    dated = ts.normalise(ts.date_tokens(df, fields, [key, *(["_home"] if "_home" in df.columns else [])]), zone)
     # the dates of a line are neighbours in one task: partial aggregation leaves one row per line before the shuffle
     lines = dated.groupBy("field_name", key, "line_no").agg(
         F.min(F.when(F.col("bound_no") == 1, F.col("month"))).alias("a"),

@@ -19,33 +19,43 @@ from docrisk.session import fenced, small_enough_to_broadcast
 RAW_SHORT, NO_WORK, NO_EDUCATION, NO_PROJECT = "文本抽取内容较短", "未识别到工作经历", "未识别到教育经历", "项目经历标题存在但未成功分区"
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """Distinct (doc_id, text, name, filename); rows delivered twice count once, rows without an id are kept as they are.
+def once(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame | None:
+    """``columns`` of a table of files without surplus deliveries, or null where the input has no places (file and row).
 
-    Of a table of files, the surplus deliveries are found by their places (file and row) in a pass over the short
-    columns: the first row of an id, name and file name stays. Texts are read once and never shuffled while
-    the surplus measures small enough to be a broadcast. Other inputs have no places; there, repeated ids are
-    looked for and their rows, whole texts included, made distinct.
+    Of the rows that agree in ``by`` (short columns, the first of them the key; rows with a null key are kept as they are)
+    the first one stays. The surplus is found in a pass over these columns; the rows themselves are read once and not
+    shuffled while the surplus measures small enough to be a broadcast.
     """
-    rows = df.select("doc_id", "text", "name", "filename")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few_splits = rows.rdd.getNumPartitions() < cores  # then parsing costs more than moving the texts
     try:
         place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        placed = df.select("doc_id", "text", "name", "filename", place.alias("_place"))
+        placed = df.select(*dict.fromkeys([*columns, *by]), place.alias("_place"))
     except AnalysisException:
-        rows = rows.repartition(cores, "doc_id") if few_splits else rows
-        repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-        return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
-    ids = placed.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("name", "filename").alias("_named"), "_place")
-    first = ids.groupBy("doc_id", "_named").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    surplus = ids.join(first, ["doc_id", "_named"]).where("_place > _first").select("_place")
+        return None
+    ids = placed.where(F.col(by[0]).isNotNull()).select(F.col(by[0]).alias("_key"), F.xxhash64(F.lit(0), *by[1:]).alias("_named"), "_place")
+    first = ids.groupBy("_key", "_named").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    surplus = ids.join(first, ["_key", "_named"]).where("_place > _first").select("_place")
     n = surplus.count()
     if not n:
-        kept = rows
-    else:
-        kept = placed.join(F.broadcast(surplus) if small_enough_to_broadcast(n, 48) else surplus, "_place", "left_anti").drop("_place")
-    return kept.repartition(cores) if few_splits else kept
+        return df.select(*columns)
+    return placed.join(F.broadcast(surplus) if small_enough_to_broadcast(n, 48) else surplus, "_place", "left_anti").select(*columns)
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """Distinct (doc_id, text, name, filename); rows delivered twice count once, rows without an id are kept as they are.
+
+    In a table of files, rows of one id, name and file name are one document, and the first of them stays (``once``).
+    Other inputs have no places; there, repeated ids are looked for and their rows, whole texts included, made distinct.
+    """
+    columns = ["doc_id", "text", "name", "filename"]
+    rows = df.select(*columns)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few_splits = rows.rdd.getNumPartitions() < cores  # then parsing costs more than moving the texts
+    kept = once(df, ["doc_id", "name", "filename"], columns)
+    if kept is not None:
+        return kept.repartition(cores) if few_splits else kept
+    rows = rows.repartition(cores, "doc_id") if few_splits else rows
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(rows.join(repeated, "doc_id", "left_semi").distinct())
 
 
 def section(starts: tuple[str, ...]) -> Column:

@@ -2,9 +2,10 @@
 
 Steps: (1) one alternation of anchored notations cuts the dates out of a line; (2) each token is
 taken apart by the expression of its notation; (3) the zone of times written without one is
-estimated by choosing, among candidate offset histories, the one with the fewest violations of
-sequence order (a start after its end) and of ingestion time (an event after it was stored);
-(4) local times are converted with that history. All steps are JVM expressions.
+estimated, for the whole table or for each group of records (an entity, a source, an account), by
+choosing, among candidate offset histories, the one with the fewest violations of sequence order (a
+start after its end) and of ingestion time (an event after it was stored); (4) local times are
+converted with that history. All steps are JVM expressions.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docrisk.session import durable, small_enough_to_broadcast
+
 # Notations of dates and zones.
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)[a-z]*"
 ABBREVIATIONS = {
@@ -171,8 +174,8 @@ def _seconds(df: DataFrame, name: str) -> Column:
     return F.unix_seconds(F.col(name).cast("timestamp"))
 
 
-def date_tokens(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
-    """One row per date in the lines of array columns.
+def date_tokens(df: DataFrame, fields: list[str], keep: list[str], only: str | None = None) -> DataFrame:
+    """One row per date in the lines of array columns; with ``only``, of the lines that match this pattern.
 
     Columns: ``field_name``, ``keep``..., ``line_no`` (int, from 0), ``bound_no`` (int, from 1), ``p``
     (parts), ``n_bounds``, ``open_end``. Null arrays, null lines and lines without a date give no rows.
@@ -181,7 +184,7 @@ def date_tokens(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
     exploded = (
         df.select(*keep, F.explode(lines).alias("_f"))
         .select(*keep, F.col("_f.field_name").alias("field_name"), F.posexplode("_f.lines").alias("line_no", "_line"))
-        .where(F.col("_line").rlike("[0-9０-９]{4}|年"))
+        .where(F.col("_line").rlike("[0-9０-９]{4}|年") & (F.col("_line").rlike(only) if only else F.lit(True)))
         .withColumn("_line", widen(F.col("_line")))
         .withColumn("_tokens", F.regexp_extract_all("_line", F.lit(DATE), F.lit(0)))
         .where(F.size("_tokens") > 0)
@@ -204,13 +207,14 @@ def _valid(p: Column) -> Column:
 CANDIDATE_ZONES = ("Asia/Shanghai", "UTC", "Europe/London", "America/New_York", "America/Los_Angeles", "Asia/Tokyo", "Asia/Kolkata")
 
 
-def estimate_zone(tokens: DataFrame, line_key: list[str], ingested_at: str, candidates: tuple[str, ...] = CANDIDATE_ZONES) -> tuple[str, dict[str, int]]:
-    """The candidate history with the fewest violations, and the violations of each.
+#: What a line with a time of day holds; other lines say nothing about zones.
+HAS_TIME = "[0-9０-９][:：][0-9０-９]|T[0-9０-９]{4}"
+
 
-    A violation is a start after its end within a line, or an event after ``ingested_at``. The
-    declared (first) candidate is kept unless another one has fewer violations by more than three
-    standard deviations of the difference, so that a tie or an empty table gives the declared zone.
-    One aggregation, one row to the driver.
+def _violations(tokens: DataFrame, line_key: list[str], ingested_at: str, candidates: tuple[str, ...]) -> DataFrame:
+    """Per line with a time without zone: ``line_key``..., ``v``, an array with 1 where the candidate violates an order.
+
+    A violation is a start after its end within a line, or an event after ``ingested_at``.
     """
     p, local = F.col("p"), "p.zone IS NULL AND p.h IS NOT NULL"
     per = F.array(*[
@@ -224,21 +228,66 @@ def estimate_zone(tokens: DataFrame, line_key: list[str], ingested_at: str, cand
             F.max(F.expr(local)).alias("_local"), F.max(_seconds(tokens, ingested_at)).alias("_in"))
         .where("_local")
     )
-    broken = [
-        F.sum(F.when((F.col("a")[i] > F.col("b")[i]) | (F.greatest(F.col("a")[i], F.col("b")[i]) > F.col("_in")), 1).otherwise(0)).alias(f"v{i}")
-        for i in range(len(candidates))
-    ]
-    row = lines.agg(*broken).first()
-    counts = {z: int(row[i] or 0) for i, z in enumerate(candidates)}
+    broken = lambda i: F.when((F.col("a")[i] > F.col("b")[i]) | (F.greatest(F.col("a")[i], F.col("b")[i]) > F.col("_in")), 1).otherwise(0)
+    return lines.select(*line_key, F.array(*[broken(i) for i in range(len(candidates))]).alias("v"))
+
+
+def _better(declared: Column, other: Column) -> Column:
+    """Whether ``other`` has fewer violations by more than three standard deviations of the difference."""
+    return declared - other > 3 * F.sqrt(declared + other)
+
+
+def estimate_zone(tokens: DataFrame, line_key: list[str], ingested_at: str, candidates: tuple[str, ...] = CANDIDATE_ZONES) -> tuple[str, dict[str, int]]:
+    """The candidate history with the fewest violations in the whole table, and the violations of each.
+
+    The declared (first) candidate is kept unless another one is clearly better, so that a tie or an
+    empty table gives the declared zone. One aggregation, one row to the driver.
+    """
+    sums = [F.coalesce(F.sum(F.col("v")[i]), F.lit(0)).alias(f"v{i}") for i in range(len(candidates))]
+    row = _violations(tokens, line_key, ingested_at, candidates).agg(*sums).first()
+    counts = {z: int(row[i]) for i, z in enumerate(candidates)}
     best = min(candidates, key=lambda z: (counts[z], candidates.index(z)))
     gain = counts[candidates[0]] - counts[best]
     return (best if gain > 3 * (counts[candidates[0]] + counts[best]) ** 0.5 else candidates[0]), counts
 
 
+def estimate_zones(tokens: DataFrame, group: str, line_key: list[str], ingested_at: str, candidates: tuple[str, ...] = CANDIDATE_ZONES) -> DataFrame:
+    """(group, zone) of the groups whose times without zone follow another history than the declared (first) one.
+
+    Each group is judged by its own lines alone, with the same rule as a table; a group with a third of all rows is
+    aggregated partially in every task. A null group keeps the declared zone.
+    """
+    lines = _violations(tokens, [group, *[k for k in line_key if k != group]], ingested_at, candidates).where(F.col(group).isNotNull())
+    counts = lines.groupBy(group).agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(len(candidates))])
+    least = F.array_min(F.array(*[F.struct(F.col(f"v{i}").alias("n"), F.lit(i).alias("i")) for i in range(len(candidates))]))
+    chosen = counts.select(group, "v0", least.alias("best")).where((F.col("best.i") > 0) & _better(F.col("v0"), F.col("best.n")))
+    return chosen.select(group, F.element_at(F.array(*[F.lit(z) for z in candidates]), F.col("best.i") + 1).alias("zone"))
+
+
+def with_zone(df: DataFrame, fields: list[str], key: str, ingested_at: str, group: str, candidates: tuple[str, ...] = CANDIDATE_ZONES) -> DataFrame:
+    """Add ``_home``, the zone of the record's times without zone, estimated per ``group``.
+
+    Only lines with a time of day are looked at. The groups that leave the declared zone are few or none; their table is
+    written once, and joined by broadcast if it measures small.
+    """
+    tokens = date_tokens(df, fields, list(dict.fromkeys([key, group, ingested_at])), HAS_TIME)
+    chosen = durable(estimate_zones(tokens, group, ["field_name", key, "line_no"], ingested_at, candidates))
+    n = chosen.count()
+    if not n:
+        return df.withColumn("_home", F.lit(candidates[0]))
+    other = chosen.select(F.col(group).alias("_group"), F.col("zone").alias("_home"))
+    joined = df.join(F.broadcast(other) if small_enough_to_broadcast(n, 128) else other, F.col(group) == F.col("_group"), "left").drop("_group")
+    return joined.withColumn("_home", F.coalesce("_home", F.lit(candidates[0])))
+
+
 def normalise(tokens: DataFrame, zone: str = CANDIDATE_ZONES[0]) -> DataFrame:
-    """Add ``norm_value`` (the precision written is kept; times in UTC) and ``month`` (ordinal year*12+month, local to ``zone``)."""
+    """Add ``norm_value`` (the precision written is kept; times in UTC) and ``month`` (ordinal year*12+month, local to ``zone``).
+
+    A column ``_home`` gives the zone of times without zone; without it, that is ``zone``, too.
+    """
     p = F.col("p")
-    at = F.when(p["h"].isNotNull() | p["epoch"].isNotNull(), _instant("p", f"coalesce(_zone, '{zone}')"))
+    home = "_home" if "_home" in tokens.columns else f"'{zone}'"
+    at = F.when(p["h"].isNotNull() | p["epoch"].isNotNull(), _instant("p", f"coalesce(_zone, {home})"))
     utc = F.expr("cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, _at) as string)")
     local = F.expr(f"cast(convert_timezone('UTC', '{zone}', timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, _at)) as string)")
     day = F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])
@@ -252,8 +301,11 @@ def normalise(tokens: DataFrame, zone: str = CANDIDATE_ZONES[0]) -> DataFrame:
     )
 
 
-def normalised_dates(df: DataFrame, fields: list[str], key: str = "doc_id", ingested_at: str = "parsed_at", zone: str | None = None) -> DataFrame:
-    """Distinct (field_name, key, line_no, bound_no, norm_value) of all dates; the zone is estimated unless given."""
+def normalised_dates(df: DataFrame, fields: list[str], key: str = "doc_id", ingested_at: str = "parsed_at", zone: str | None = None, group: str | None = None) -> DataFrame:
+    """Distinct (field_name, key, line_no, bound_no, norm_value) of all dates; the zone is estimated unless given, per ``group`` if that is given."""
+    if zone is None and group is not None:
+        tokens = date_tokens(with_zone(df, fields, key, ingested_at, group), fields, [key, "_home"])
+        return normalise(tokens).select("field_name", key, "line_no", "bound_no", "norm_value").distinct()
     keep = [key] if zone else [key, ingested_at]
     tokens = date_tokens(df, fields, keep)
     if zone is None:

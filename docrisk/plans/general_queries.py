@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docrisk.operators import intervals, packed_values, timestamps
 from docrisk.session import table
 
-#: Most rows of a reference list that may be read to the driver.
+#: Most rows of a reference list that may be read to the driver and made into one pattern (a tree of letters, whose cost doesn't grow with the list).
 REFERENCE_ROWS = 100_000
 
 
@@ -33,11 +33,12 @@ def p4_values_per_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamps.normalised_dates(table(spark, sf_dir, "parsed_resumes"), ["education", "work_experience"])
+    return timestamps.normalised_dates(table(spark, sf_dir, "parsed_resumes"), ["education", "work_experience"], group="candidate_no")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = intervals.experience_spans(table(spark, sf_dir, "parsed_resumes"), ["work_experience", "project_experience"])
+    fields = ["work_experience", "project_experience"]
+    spans = intervals.experience_spans(timestamps.with_zone(table(spark, sf_dir, "parsed_resumes"), fields, "doc_id", "parsed_at", "candidate_no"), fields)
     return spans.select("field_name", "doc_id", "span_kind", "from_month", "to_month")
 
 

@@ -146,3 +146,25 @@ def test_skeletons_are_few_and_names_are_protected(spark):
     for r in sorted(packed_values.split_values(df, "cell", many, ["doc_id"]).collect(), key=lambda r: (r["doc_id"], r["item_no"])):
         got.setdefault(r["doc_id"], []).append(r["item_text"])
     assert got == {1: ["a/b7", "a/b2999", "A-BC A-B"], 2: ["A-BCD", "x+", "y"], 3: ["a/b12", "a/b1"]}
+
+
+def test_zones_of_groups_within_one_table(spark):
+    """Accounts whose local times follow Tokyo, New York and the declared zone, each told by its own lines."""
+    clock = {"Asia/Tokyo": ("09:30", "00:31"), "Asia/Shanghai": ("08:30", "00:31"), "America/New_York": ("19:30", "00:31")}
+    rows = []
+    for account, zone in ((1, "Asia/Tokyo"), (2, "Asia/Shanghai"), (3, "America/New_York"), (None, "Asia/Tokyo")):
+        local, utc = clock[zone]
+        for d in range(2, 28):
+            day = d - (zone == "America/New_York")
+            lines = [f"2020-01-{day:02d} {local} ~ 2020-01-{d:02d}T{utc}:00Z", f"2020-01-{d:02d}T00:29:00Z ~ 2020-01-{day:02d} {local}"]
+            rows.append((100 * (account or 9) + d, account, lines))
+    rows.append((7, 4, ["2020-01-02 09:30 ~ 2020-01-02T00:31:00Z"]))  # too little to tell
+    df = spark.createDataFrame(rows, "doc_id long, account int, lines array<string>").withColumn("at", F.lit(None).cast("timestamp"))
+    zoned = {r["account"]: r["_home"] for r in timestamps.with_zone(df, ["lines"], "doc_id", "at", "account").select("account", "_home").distinct().collect()}
+    assert zoned == {1: "Asia/Tokyo", 2: "Asia/Shanghai", 3: "America/New_York", 4: "Asia/Shanghai", None: "Asia/Shanghai"}
+    got = {(r["doc_id"], r["line_no"], r["bound_no"]): r["norm_value"] for r in timestamps.normalised_dates(df, ["lines"], ingested_at="at", group="account").collect()}
+    assert got[102, 0, 1] == got[202, 0, 1] == got[302, 0, 1] == "2020-01-02T00:30:00Z" and got[902, 0, 1] == "2020-01-02T01:30:00Z"
+    late = spark.createDataFrame([(i, 1, [f"2020-0{4 + i % 6}-01 00:30 ~ 2020-0{4 + i % 6}-01T04:31:00Z", f"2020-0{4 + i % 6}-01T04:29:00Z ~ 2020-0{4 + i % 6}-01 00:30"]) for i in range(30)], "doc_id long, account int, lines array<string>")
+    late = timestamps.with_zone(late.withColumn("at", F.lit(None).cast("timestamp")), ["lines"], "doc_id", "at", "account")
+    assert late.first()["_home"] == "America/New_York"  # four hours behind only by its summer time
+    assert timestamps.normalised_dates(df.where("false"), ["lines"], ingested_at="at", group="account").count() == 0
