@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk.llm import canonical, mixing, mojibake, packing, personal, residue, scan_noise
+from docrisk.operators import parsing
 from docrisk.session import table
 
 
@@ -23,10 +24,10 @@ def few(settings: DataFrame) -> list[Row]:
 
 
 def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field_name, doc_id, text) of both extractions of all résumés."""
-    text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
-    raw = table(spark, sf_dir, "parsed_resumes").select(F.lit("raw_text").alias("field_name"), "doc_id", F.col("raw_text").alias("text"))
-    return text.unionByName(raw)
+    """(field_name, doc_id, text) of both extractions of all résumés, surplus deliveries left out."""
+    text = parsing.once(table(spark, sf_dir, "resumes_for_analysis"), ["doc_id", "name", "filename"], ["doc_id", "text"])
+    raw = parsing.once(table(spark, sf_dir, "parsed_resumes"), ["doc_id", "name", "filename", "parsed_at"], ["doc_id", "raw_text"])
+    return text.select(F.lit("text").alias("field_name"), "doc_id", "text").unionByName(raw.select(F.lit("raw_text").alias("field_name"), "doc_id", F.col("raw_text").alias("text")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +62,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def personal_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field_name, doc_id, text) of the résumé texts and the contact cells."""
-    text = table(spark, sf_dir, "resumes_for_analysis").select(F.lit("text").alias("field_name"), "doc_id", "text")
-    cells = table(spark, sf_dir, "profile_summary")
+    """(field_name, doc_id, text) of the résumé texts and the contact cells, surplus deliveries left out."""
+    resumes, cells = table(spark, sf_dir, "resumes_for_analysis"), table(spark, sf_dir, "profile_summary")
+    text = parsing.once(resumes, ["doc_id", "name", "filename"], ["doc_id", "text"])
+    both = parsing.once(cells, ["doc_id", "手机", "邮箱"], ["doc_id", "手机", "邮箱"])
     cell = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("手机", "邮箱")]))
-    return text.unionByName(cells.select("doc_id", cell.alias("_c")).select("_c.field_name", "doc_id", "_c.text"))
+    return text.select(F.lit("text").alias("field_name"), "doc_id", "text").unionByName(both.select("doc_id", cell.alias("_c")).select("_c.field_name", "doc_id", "_c.text"))
 
 
 CONTACT_CELLS = {"手机": "PHONE", "邮箱": "EMAIL"}
@@ -78,9 +80,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records with typed placeholders in place of personal information."""
-    records = personal_fields(spark, sf_dir).where("text IS NOT NULL").distinct()
-    spans = personal.find(records, "doc_id", "text", "field_name", CONTACT_CELLS)
-    return personal.mask(records, spans, "doc_id", "text", "field_name")
+    records = personal_fields(spark, sf_dir).where("text IS NOT NULL")
+    return personal.find_and_mask(records, "doc_id", "text", "field_name", CONTACT_CELLS)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,25 @@ def test_bare_names_anywhere(spark):
     assert {x[1] for x in spans} == {"周小舟", "孙小舟"} and len(spans) == 34
 
 
+def test_the_span_classifier_decides():
+    """Spans that the labelers say nothing about are told apart by what surrounds them, and one no-vote is no veto."""
+    patterns = {"++++++" + "0151": 200, "------" + "3332": 200, "000000" + "0151": 10, "000000" + "3332": 10, "+++-++" + "0151": 20}
+    beta = personal.fit_classifier(patterns, {"++++++": 0.99, "------": 0.01, "000000": 0.5, "+++-++": 0.9})
+    score = {p: float(sum(x * y for x, y in zip(personal._features(p), beta))) for p in patterns}
+    assert score["0000000151"] > 0 > score["0000003332"] and score["+++-++0151"] > 0
+    assert "+++-++0151" in personal.accepted_patterns({"PHONE": patterns})["PHONE"]
+    assert personal.span_features("电话：123\n", 3, 6) == "0500" and personal.span_features("a" * 30, 0, 30) == "3000"
+    assert personal.accepted_patterns({}) == {}
+
+
+def test_masking_in_one_pass_equals_masking_by_spans(spark):
+    rows = [("text", i, f"我叫周小舟，今年30岁\n手机：1381234{i:04d}\n邮箱 a{i}@b.example") for i in range(20)] + [("text", 90, None), ("text", 91, ""), ("手机", 92, "无"), ("手机", 93, "13812340000")]
+    df = spark.createDataFrame(rows, TEXT).withColumn("votes", F.lit("extra"))
+    cells = {"手机": "PHONE"}
+    two = personal.mask(df, personal.find(df, "doc_id", "text", "field_name", cells), "doc_id", "text", "field_name")
+    assert sorted(map(tuple, personal.find_and_mask(df, "doc_id", "text", "field_name", cells).collect())) == sorted(map(tuple, two.collect()))
+
+
 # --- wrong encodings -------------------------------------------------------------------------------
 LINES = ["负责数据平台的任务调度与质量监控", "按时产出率由六成提高到九成", "工作经历和项目经验完整可查", "熟悉报表开发以及需求分析"]
 
