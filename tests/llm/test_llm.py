@@ -292,3 +292,33 @@ def test_filler_that_no_list_names(spark):
     assert all(kinds[i] == "filler" for i in range(40)) and [kinds[i] for i in range(100, 106)] == ["filler"] * 3 + [None] * 3
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert residue.with_residue_kind(empty).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.integers(0, 30))
+def test_best_sum(sizes, capacity):
+    counts = {s: sizes.count(s) for s in sizes if s <= capacity}
+    got = mixing.best_sum(counts, capacity)
+    sums = {sum(c) for r in range(len(sizes) + 1) for c in itertools.combinations(sizes, r) if sum(c) <= capacity}
+    assert sum(got) == max(sums) and all(got.count(s) <= counts[s] for s in got)
+
+
+@pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_VOCABULARY), reason="no vocabulary")
+def test_memberships_decide_what_is_preferred(spark):
+    """Records of two sources, some of which read like the other one: the fit draws those of the scarce kind more often."""
+    rng = random.Random(2)
+    words = {"a": "数据平台任务调度质量监控", "b": "recipe garden flower kitchen spoon"}
+    say = lambda s: "".join(rng.choices(words["a"], k=40)) if s == "a" else " ".join(rng.choices(words["b"].split(), k=12))
+    rows = [(i, say("b" if i % 10 == 0 else "a"), "a") for i in range(400)] + [(1000 + i, say("b"), "b") for i in range(40)] + [(2000 + i, say("ab"[i % 2]), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("post", F.lit("extra"))
+    model = mixing.classifier(df, "text", "source", ["a", "b"])
+    members = {r["doc_id"]: r["post"] for r in mixing.memberships(df, "doc_id", "text", "source", ["a", "b"], model).collect()}
+    assert all(0 < p < 1 for p in members[1]) and members[2000][0] > 0.5 > members[2001][0] and members[1][0] > members[0][0]  # labels are evidence, not certainty
+    kept = {"a": (0.5, 1), "b": (0.5, 4)}
+    posts = mixing.memberships(df, "doc_id", "text", "source", ["a", "b"], model)
+    summed, total = mixing.fit_rates(posts, kept)
+    assert summed[0] > summed[1]  # what reads like the plentiful kind is drawn less
+    drawn = mixing.draw(posts, "doc_id", "source", kept, summed, None)
+    share = {r["domain"]: r["t"] for r in drawn.groupBy("domain").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert abs(share["a"] / sum(share.values()) - 0.5) < 0.01
+    assert drawn.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
