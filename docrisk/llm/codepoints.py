@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Adjacent pairs are counted in this many buckets, so that the table's size doesn't depend on the corpus.
@@ -26,24 +26,37 @@ def pair_bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - PAIR_BUCKETS.bit_length() + 1)
 
 
-def character_shares(texts: DataFrame, text: str) -> dict[str, float]:
-    """Share of non-null texts that hold a character; partial counts per task, at most one row per character of Unicode to the driver."""
+def character_shares(texts: DataFrame, text: str, sides_of: tuple[int, int] = (0, 0)) -> tuple[dict[str, float], dict[str, float]]:
+    """Share of non-null texts that hold a character and, for those in the range ``sides_of``, the share of their sides (two an occurrence) that are plain letters.
+
+    Partial counts per task, at most one row per character of Unicode to the driver.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        sides, plain = np.zeros(sides_of[1] + 1, np.int64), np.zeros(sides_of[1] + 1, np.int64)
         n = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t is not None:
-                    seen.update(set(t))
-                    n += 1
+            rows = [t for t in batch.column(0).to_pylist() if t is not None]
+            n += len(rows)
+            for t in rows:
+                seen.update(set(t))
+            codes = np.concatenate([[BREAK], code_points(rows)])
+            at = np.flatnonzero((codes >= sides_of[0]) & (codes < sides_of[1]))
+            np.add.at(sides, codes[at], 2)
+            for side in (at - 1, at + 1):
+                low = codes[side] | 32
+                np.add.at(plain, codes[at], (codes[side] < 128) & (low >= 97) & (low <= 122))
         keys = [-1, *map(ord, seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([n, *seen.values()], pa.int64())], ["c", "n"])
+        two = [(int(sides[k]), int(plain[k])) if 0 <= k < len(sides) else (0, 0) for k in keys]
+        columns = [pa.array(keys, pa.int32()), *(pa.array(c, pa.int64()) for c in ([n, *seen.values()], [a for a, _ in two], [b for _, b in two]))]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "n", "sides", "plain"])
 
-    counts = texts.select(text).mapInArrow(partial, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
-    total = {r["c"]: r["n"] for r in counts}
-    n = max(1, total.pop(-1, 0))
-    return {chr(c): k / n for c, k in total.items()}
+    sums = [F.sum(c).alias(c) for c in ("n", "sides", "plain")]
+    rows = texts.select(text).mapInArrow(partial, "c int, n long, sides long, plain long").groupBy("c").agg(*sums).collect()
+    n = max([1, *(r["n"] for r in rows if r["c"] == -1)])
+    known = [r for r in rows if r["c"] >= 0]
+    return {chr(r["c"]): r["n"] / n for r in known}, {chr(r["c"]): r["plain"] / r["sides"] for r in known if r["sides"]}
 
 
 def pair_counts(texts: DataFrame, text: str, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +86,3 @@ def pair_counts(texts: DataFrame, text: str, trusted: np.ndarray) -> tuple[np.nd
     pairs, chars = np.zeros(PAIR_BUCKETS, np.int64), np.zeros(0x110000, np.int64)
     pairs[k[k >= 0]], chars[-1 - k[k < 0]] = n[k >= 0], n[k < 0]
     return pairs, chars
-
-
-def all_texts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One column ``text`` with the values of several columns."""
-    out: DataFrame | None = None
-    for c in columns:
-        part = df.select(F.col(c).alias("text"))
-        out = part if out is None else out.union(part)
-    assert out is not None
-    return out
-
-
-def null_if_blank(c: Column) -> Column:
-    return F.when(c.rlike(r"[^\s　]"), c)

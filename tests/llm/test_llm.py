@@ -322,3 +322,15 @@ def test_memberships_decide_what_is_preferred(spark):
     share = {r["domain"]: r["t"] for r in drawn.groupBy("domain").agg(F.sum("n_tokens").alias("t")).collect()}
     assert abs(share["a"] / sum(share.values()) - 0.5) < 0.01
     assert drawn.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_information_decides_and_mappings_stay_inside_runs(spark):
+    """A pair's score follows its mutual information; letters with accents are trusted where they stand among plain letters."""
+    words = ["déjà vu", "le café noir", "une idée simple", "très bien réussi", "la forêt dorée"]
+    french = [("text", i, ", ".join(random.Random(i).sample(words, 4)) + "\n" + random.Random(i).choice(LINES)) for i in range(200)]
+    df = spark.createDataFrame(french + [("text", 900, "le café noir".encode().decode("cp1252") + "\n" + LINES[0]), ("text", 901, "Греция и Ελλάδα")], TEXT)
+    score, trusted = mojibake.fit(df)
+    assert all(trusted[ord(c)] for c in "éàè") and not trusted[ord("Ã")] and not trusted[ord("Г")]
+    assert len(set(score.tolist())) > 4 and score.min() >= mojibake.USUAL and score.max() <= mojibake.RARE
+    rows = {r["doc_id"]: r["restored"] for r in mojibake.restore(df, "doc_id", "text", (score, trusted), ["field_name"]).collect()}
+    assert set(rows) == {900} and rows[900].startswith("le café noir")
