@@ -1,13 +1,16 @@
 """Noise in text from scanned pages: words cut by hyphens, misrecognised characters, page furniture.
 
 (1) One pass over the whole corpus counts, apart for texts with and without traces of pages
-(wrapped lines, page numbers), the words, the three-character windows and the two-character windows
-around characters that scanning confuses, hyphenated and cut words, and the edge lines of pages.
-(2) Every unit has an anagram hash (the sum of its characters' fifth powers). A confusion changes
-it by a fixed difference, so that an equi-join in SQL on hash plus difference brings together rare
-units with their frequent variants. The ranked best variant is a correction if it is many times as
-frequent and the unit is not just as usual in texts without traces of pages (where it would be the
-author's own). (3) A cut word is one whose joined form has more evidence than its hyphenated form.
+(wrapped lines, page numbers), the words, all windows of three characters around a Chinese one,
+hyphenated and cut words, and the edge lines of pages.
+(2) Which characters scanning confuses is learned: a window that comes with traces of pages only, in
+a context whose usual character is another one, is evidence for that pair, and pairs with evidence from
+enough different contexts are kept beside a list of known ones (``learn_confusions``). Every unit has an
+anagram hash (the sum of its characters' fifth powers). A confusion changes it by a fixed difference, so
+that an equi-join in SQL on hash plus difference brings together rare units with their frequent variants.
+The ranked best variant is a correction if it is many times as frequent and the unit is not just as usual
+in texts without traces of pages (where it would be the author's own).
+(3) A cut word is one whose joined form has more evidence than its hyphenated form.
 (4) Lines whose form stands at page edges across the corpus are furniture. (5) A second pass applies
 all this to every line; ``repair`` also joins the lines to paragraphs.
 
@@ -20,11 +23,14 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docrisk.llm import codepoints as cp
 from docrisk.llm import layout
 from docrisk.session import durable
 
@@ -38,13 +44,10 @@ PAGE_NUMBER = re.compile(r"\s*(?:[-—–·~] ?\d{1,3} ?[-—–·~]|第 ?\d{1,3
 TRAILING_NUMBER = re.compile(r"\s{2,}\d{1,3}\s*$")
 MODULUS = (1 << 61) - 1
 
-WRONG: dict[str, list[str]] = {}
-for _group in CONFUSIONS.split():
-    for _w in _group[1:]:
-        WRONG.setdefault(_w, []).append(_group[0])
-CENTERS = "".join(sorted(set(CONFUSIONS.replace(" ", ""))))
-WINDOW = re.compile(f"(?=(.[{CENTERS}].))", re.S)
-WRONG_AT = re.compile(f"[{''.join(sorted(WRONG))}]")
+KNOWN = [(w, group[0]) for group in CONFUSIONS.split() for w in group[1:]]
+#: A pair of characters is learned from so many different contexts, and from this share of the windows of scanned texts,
+#: so that at most 1 / LEARNED_SHARE pairs are learned from any number of texts; and if it explains this share of the wrong character's evidence.
+LEARNED_CONTEXTS, LEARNED_SHARE, LEARNED_PART = 3, 1e-6, 0.2
 WORD = re.compile(r"(?<![A-Za-z0-9!@._-])[A-Za-z0-9][A-Za-z0-9!]{2,19}(?![A-Za-z0-9!@])|(?<![A-Za-z0-9@._-])[A-Za-z!][A-Za-z0-9!]{2,19}(?![A-Za-z0-9!@])")
 SUSPECT_WORD = re.compile("[cd015!]|rn")
 HYPHENED = re.compile(r"(?<![A-Za-z])([A-Za-z]+)-(?=([A-Za-z]+))")
@@ -120,9 +123,6 @@ class Page:
 
 
 def _count(page: Page, c: Counter[str]) -> None:
-    flat = "\n" + page.flat
-    for w in WINDOW.findall(masked(flat)):
-        c["3" + w] += 1
     for w in WORD.findall(page.flat):
         if sum(map(str.isalpha, w)) >= 2:
             c["W" + w] += 1
@@ -132,6 +132,28 @@ def _count(page: Page, c: Counter[str]) -> None:
         c[f"H{a}-{b}"] += 1
 
 
+@lru_cache(1)
+def _mask() -> np.ndarray:
+    """Digits (but 9) and letters of ASCII as one digit and one letter, other code points as they are."""
+    table = np.arange(0x110000, dtype=np.int64)
+    table[48:57], table[65:91], table[97:123] = 57, 65, 65
+    return table
+
+
+def window_counts(flats: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of three characters around a Chinese one, packed into 63 bits, and their counts; within one text each."""
+    codes = _mask()[cp.code_points(flats)]
+    before, center, after = codes[:-2], codes[1:-1], codes[2:]
+    ok = (center >= 0x4E00) & (center <= 0x9FFF) & (before != cp.BREAK) & (after != cp.BREAK)
+    return np.unique(before[ok] << 42 | center[ok] << 21 | after[ok], return_counts=True)
+
+
+def _windows(packed: np.ndarray) -> list[str]:
+    three = np.column_stack([packed >> 42, packed >> 21 & 0x1FFFFF, packed & 0x1FFFFF]).astype("<u4")
+    text = three.tobytes().decode("utf-32-le", "surrogatepass")
+    return ["3" + text[i : i + 3] for i in range(0, len(text), 3)]
+
+
 def count_units(texts: DataFrame, text: str) -> DataFrame:
     """(unit, n_plain, n_scan) over all texts; a unit's first character is its kind. Each task pre-aggregates."""
 
@@ -147,10 +169,24 @@ def count_units(texts: DataFrame, text: str) -> DataFrame:
                 c.clear()
             return out
 
+        def windows(flats: list[str], scanned: bool) -> pa.RecordBatch:
+            packed, n = window_counts(flats)
+            none = pa.array(np.zeros(len(n), np.int64))
+            both = [none, pa.array(n.astype(np.int64))] if scanned else [pa.array(n.astype(np.int64)), none]
+            return pa.RecordBatch.from_arrays([pa.array(_windows(packed), pa.string()), *both], ["unit", "n_plain", "n_scan"])
+
+        waiting: tuple[list[str], list[str]] = ([], [])
+        held = [0, 0]
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 page = Page(t)
                 c = counts[page.scanned]
+                waiting[page.scanned].append("\n" + page.flat.replace(chr(cp.BREAK), " "))
+                held[page.scanned] += len(page.flat)
+                if held[page.scanned] > FLUSH * 10:
+                    yield windows(waiting[page.scanned], page.scanned)
+                    waiting[page.scanned].clear()
+                    held[page.scanned] = 0
                 _count(page, c)
                 c["#texts"] += 1
                 filled = [x for x in page.lines if x.strip()]
@@ -163,6 +199,9 @@ def count_units(texts: DataFrame, text: str) -> DataFrame:
                         c["F" + f] += 1
             if len(counts[0]) + len(counts[1]) > FLUSH:
                 yield flush()
+        for scanned in (False, True):
+            if waiting[scanned]:
+                yield windows(waiting[scanned], scanned)
         yield flush()
 
     partial = texts.where(F.length(text) > 0).select(text).mapInArrow(run, "unit string, n_plain long, n_scan long")
@@ -184,9 +223,31 @@ def edge_forms(units: DataFrame, least_share: float = 0.0002, edge_share: float
     return frozenset(r["form"] for r in kept.select("form").collect())
 
 
-def _differences(spark) -> DataFrame:
+def learn_confusions(units: DataFrame, scale: float) -> DataFrame:
+    """(wrong, right, contexts): pairs of characters that scanning confuses, by what the corpus shows.
+
+    In every context (the characters before and after) the most frequent character is the usual one; a window
+    with another character that is far rarer, and that comes in scanned texts out of proportion, is evidence for
+    (this character, the usual one), if this character as a whole is out of proportion there. One aggregation and one equi-join by context; no pairs are formed within one.
+    """
+    w = F.expr("substring(unit, 2)")
+    n = F.col("n_plain") + F.col("n_scan")
+    three = units.where("unit LIKE '3%'").select(F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1)).alias("context"), F.substring(w, 2, 1).alias("c"), "n_plain", "n_scan", n.alias("n"))
+    usual = three.groupBy("context").agg(F.max(F.struct("n", "c")).alias("top")).select("context", F.col("top.c").alias("right"), F.col("top.n").alias("n_right"))
+    # the wrong character itself comes with traces of pages, too: a name's or an author's character comes without them as well
+    of_pages = three.groupBy("c").agg(F.sum("n_plain").alias("p"), F.sum("n_scan").alias("s")).where(F.col("p") * F.lit(float(scale)) * 4 < F.col("s")).select("c")
+    odd = three.join(of_pages, "c").where((F.col("n_scan") > 0) & (F.col("n_plain") * F.lit(float(scale)) * 4 < F.col("n_scan")))
+    pairs = odd.join(usual, "context").where((F.col("c") != F.col("right")) & (F.col("n_right") >= RATIO["3"] * F.col("n")))
+    evidence = pairs.groupBy(F.col("c").alias("wrong"), "right").agg(F.countDistinct("context").alias("contexts"))
+    whole = evidence.groupBy("wrong").agg(F.sum("contexts").alias("all"))
+    least = LEARNED_SHARE * (three.agg(F.sum("n_scan").alias("n")).first()["n"] or 0)
+    kept = (F.col("contexts") >= LEARNED_CONTEXTS) & (F.col("contexts") >= least) & (F.col("contexts") >= LEARNED_PART * F.col("all"))
+    return evidence.join(whole, "wrong").where(kept).select("wrong", "right", "contexts")
+
+
+def _differences(spark, learned: list[tuple[str, str]]) -> DataFrame:
     """The confusions with their hash differences (from the form read to the right form)."""
-    rows = [(w, r, (anagram(r) - anagram(w)) % MODULUS, True) for w, rights in WRONG.items() for r in rights]
+    rows = [(w, r, (anagram(r) - anagram(w)) % MODULUS, True) for w, r in sorted({*KNOWN, *learned})]
     rows += [(w, r, (anagram(r) - anagram(w)) % MODULUS, False) for r, w in LETTER_CONFUSIONS]
     return spark.createDataFrame(rows, "wrong string, right string, difference long, wide boolean")
 
@@ -222,9 +283,10 @@ def corrections(units: DataFrame) -> DataFrame:
 
     table = durable(every.mapInArrow(hashed, "unit string, n_plain long, n_scan long, hash long"))
     scale = table.where("unit LIKE '3%'").agg((F.sum("n_scan") / F.greatest(F.sum("n_plain"), F.lit(1))).alias("s")).first()["s"] or 0.0
+    learned = [(r["wrong"], r["right"]) for r in learn_confusions(table, scale).collect()]  # bounded by LEARNED_SHARE
     u, kind = F.col("unit"), F.substring("unit", 1, 1)
     center = F.when(kind == "R", F.substring(u, 2, 1)).otherwise(F.substring(u, 3, 1))
-    differences = F.broadcast(_differences(spark))  # a fixed table of some seventy rows
+    differences = F.broadcast(_differences(spark, learned))
     letters = F.array(*[F.lit(w) for w in sorted({w for _, w in LETTER_CONFUSIONS})])
     read = (
         table.where("n_scan > 0").withColumn("kind", kind)
@@ -266,12 +328,14 @@ class Noise:
 
     def __init__(self, edges: frozenset[str], fixes: dict[str, tuple[str, str, bool]], cuts: frozenset[str]):
         self.edges, self.fixes, self.cuts = edges, fixes, cuts
+        wrong = sorted({f[1] for u, f in fixes.items() if u[0] != "W"})
+        self.wrong_at = re.compile(f"[{''.join(map(re.escape, wrong))}]" if wrong else r"(?!)")
 
     def misread(self, page: Page) -> list[tuple[int, int, str]]:
         """(start, end, right form) in the joined text."""
         flat = "\n" + page.flat
         m, fixes, out = masked(flat), self.fixes, []
-        for hit in WRONG_AT.finditer(flat):
+        for hit in self.wrong_at.finditer(flat):
             i = hit.start()
             if i + 1 < len(m):
                 fix = fixes.get("3" + m[i - 1 : i + 2]) or fixes.get("L" + m[i - 1 : i + 1]) or fixes.get("R" + m[i : i + 2])

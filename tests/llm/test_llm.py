@@ -334,3 +334,17 @@ def test_information_decides_and_mappings_stay_inside_runs(spark):
     assert len(set(score.tolist())) > 4 and score.min() >= mojibake.USUAL and score.max() <= mojibake.RARE
     rows = {r["doc_id"]: r["restored"] for r in mojibake.restore(df, "doc_id", "text", (score, trusted), ["field_name"]).collect()}
     assert set(rows) == {900} and rows[900].startswith("le café noir")
+
+
+def test_confusions_that_no_list_names_are_learned(spark):
+    assert ("敉", "数") not in scan_noise.KNOWN
+    lines = ["负责数据平台的任务调度", "使用数字看板展示指标", "整理参数规范并培训新人", "统一计数方法后上线"]
+    plain = [("text", i, "\n".join(lines) + "\n翎字旁注") for i in range(120)]
+    pages = [("text", 500 + k, "\n".join(lines[:k] + [lines[k].replace("数", "敉")] + lines[k + 1 :]) + "\n- 1 -\n- 2 -") for k in range(4)]
+    df = spark.createDataFrame(plain + pages + [("text", 900, None), ("text", 901, "")], TEXT)
+    units = scan_noise.count_units(df, "text")
+    assert {(r["wrong"], r["right"]) for r in scan_noise.learn_confusions(units, 0.04).collect()} == {("敉", "数")}
+    rows = {(r["doc_id"], r["line_no"]) for r in scan_noise.find(df, "doc_id", "text", ["field_name"], scan_noise.fit(df, "text")).where("noise_kind = 'misread'").collect()}
+    assert rows == {(500 + k, k) for k in range(4)}
+    empty = spark.createDataFrame([], TEXT)
+    assert scan_noise.find(empty, "doc_id", "text", ["field_name"], scan_noise.fit(empty, "text")).count() == 0
