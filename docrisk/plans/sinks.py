@@ -19,6 +19,9 @@ MOST_ROWS = 100_000
 # Sheets, headers and fills by level.
 OVERVIEW = ("序号", "姓名", "文件名", "文本长度", "解析质量", "整体风险", "学历", "经历", "时间线", "薪资", "技能夸大", "表述模糊", "专业匹配", "风险点摘要")
 DETAIL = ("序号", "姓名", "风险维度", "风险等级", "具体风险点", "触发原文")
+LEGACY_OVERVIEW = ("序号", "姓名", "整体风险", "学历", "经历", "时间线", "薪资", "技能夸大", "表述模糊", "风险点摘要")
+LEGACY_DETAIL = ("序号", "姓名", "风险维度", "风险等级", "具体风险点")
+USAGE_NOTE = "本报告适合初筛排序和人工复核，不适合直接作为简历真实性结论。"
 FILLS = {"低": "C6EFCE", "中": "FFEB9C", "高": "FFC7CE"}
 HEADER_FILL = "4472C4"
 
@@ -88,15 +91,50 @@ def report(screened: DataFrame, path: str) -> str:
     first = [list(OVERVIEW)] + [[r["seq"], r["name"], r["filename"], r["text_length"], r["quality"], r["overall"], *(r[k] for k in keys), r["summary"]] for r in sorted(over, key=lambda r: r["seq"])]
     found = sorted(bounded(reports.detail(screened)), key=lambda r: (r["doc_id"], r["dimension_no"]))
     second = [list(DETAIL)] + [[seq[r["doc_id"]], r["name"], r["dimension"], r["level"], r["flag"], r["evidence"]] for r in found]
-    counts = {r["level"]: r["n"] for r in reports.risk_distribution(screened).collect()}
+    return write_xlsx(path, [("风险总览", first), ("详细分析", second), ("汇总统计", _summary_sheet([(r[1], r[5], r[-1]) for r in first[1:]]))])
+
+
+def _summary_sheet(rows: list[tuple[str, str, str]]) -> list[list]:
+    """Counts per level with their shares, and the shortlists below; ``rows`` are (name, level, summary)."""
     third: list[list] = [["简历风险评估汇总"], [], ["风险等级分布"], [], ["风险等级", "人数", "占比"]]
-    third += [[x, counts[x], f"=B{6 + i}/SUM(B$6:B$8)"] for i, x in enumerate(reversed(lx.LEVELS))]
+    third += [[x, sum(r[1] == x for r in rows), f"=B{6 + i}/SUM(B$6:B$8)"] for i, x in enumerate(reversed(lx.LEVELS))]
     third += [[], []]
     for title, level in (("高风险候选人", "高"), ("中风险候选人", "中")):
-        listed = [r for r in first[1:] if r[5] == level]
+        listed = [r for r in rows if r[1] == level]
         if listed or level == "高":
-            third += [[title], ["序号", "姓名", "主要风险点"]] + [[i, r[1], r[-1][:60]] for i, r in enumerate(listed, 1)] + [[], []]
-    return write_xlsx(path, [("风险总览", first), ("详细分析", second), ("汇总统计", third)])
+            third += [[title], ["序号", "姓名", "主要风险点"]] + [[i, r[0], r[2][:60]] for i, r in enumerate(listed, 1)] + [[], []]
+    return third
+
+
+def legacy_report(screened: DataFrame, path: str) -> str:
+    """The earlier profile's workbook: an overview of ten columns, details of five, the summary sheet."""
+    six = [k for k, _ in lx.DIMENSIONS if k != "professional_match"]
+    level = lambda n: lx.LEVELS[n]
+    rows = sorted(bounded(screened.select("doc_id", "name", "overall", "levels", "findings", "summary")), key=lambda r: r["doc_id"])
+    first = [list(LEGACY_OVERVIEW)] + [[i, r["name"], level(r["overall"]), *(level(r["levels"][k]) for k in six), r["summary"]] for i, r in enumerate(rows, 1)]
+    second = [list(LEGACY_DETAIL)]
+    for i, r in enumerate(rows, 1):
+        second += [[i, r["name"], k, level(r["levels"][k]), f["flag"]] for k in six for f in r["findings"] if f["dimension"] == k]
+    return write_xlsx(path, [("风险总览", first), ("详细分析", second), ("汇总统计", _summary_sheet([(r[1], r[2], r[-1]) for r in first[1:]]))])
+
+
+def json_list(rows: DataFrame, path: str) -> int:
+    """A JSON file with the list of (name, text) objects in the order given, one row at a time, so that nothing is held; the number of rows."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for r in rows.select("name", "text").toLocalIterator():
+            f.write((", " if n else "") + json.dumps({"name": r["name"], "text": r["text"]}, ensure_ascii=False))
+            n += 1
+        f.write("]")
+    return n
+
+
+def console(screened: DataFrame) -> list[str]:
+    """The lines of a run on a terminal: totals, then one line per document."""
+    t = reports.totals(screened).first()
+    lines = [r["line"] for r in reports.digest(screened).orderBy("doc_id").toLocalIterator()]
+    return ["=== 评估结果汇总 ===", f"总计: {t['n']} 份简历", f"高风险: {t['high']} | 中风险: {t['medium']} | 低风险: {t['low']}", "", "=== 详细结果 ===", *lines]
 
 
 def profile_workbook(profiles: DataFrame, path: str) -> str:
@@ -126,8 +164,9 @@ def run_json(screened: DataFrame, output: str | None, debug_dir: str | None) ->
     t = reports.totals(screened).first()
     stats = {r["part"]: json.loads(r["value"]) for r in reports.summary_stats(screened).collect()}
     stats["top_medium_candidates"] = [{"name": r["name"], "filename": r["filename"], "summary": r["summary"], "parse_quality": r["quality"]} for r in reports.top_medium(screened).collect()]
-    rows = bounded(screened.select("doc_id", "name", "overall", "summary", F.col("parse_quality.quality").alias("quality")))
-    details = [{"name": r["name"], "overall": lx.LEVELS[r["overall"]], "summary": r["summary"], "parse_quality": r["quality"]} for r in sorted(rows, key=lambda r: r["doc_id"])]
+    stats |= {"output_files": {"report": output, "debug_dir": debug_dir}, "usage_note": USAGE_NOTE}
+    rows = screened.select("doc_id", "name", "overall", "summary", F.col("parse_quality.quality").alias("quality")).orderBy("doc_id")
+    details = [{"name": r["name"], "overall": lx.LEVELS[r["overall"]], "summary": r["summary"], "parse_quality": r["quality"]} for r in rows.toLocalIterator()]
     return {"success": True, "output": output, "count": t["n"], "high_risk": t["high"], "medium_risk": t["medium"], "low_risk": t["low"], "debug_dir": debug_dir, "summary_stats": stats, "details": details}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docrisk import lexicon as lx
+from docrisk.session import durable
 from docrisk.functions import text
 
 FILES = "path string, modificationTime timestamp, length long, content binary, filename string"
@@ -64,7 +65,8 @@ def documents(extracted: DataFrame, skip_failed: bool = False) -> DataFrame:
     """(doc_id, text, name, filename) in the order of the paths; the name is the file name's last part or its stem."""
     from docrisk.operators.reports import numbered
 
-    kept = extracted.where("error IS NULL") if skip_failed else extracted
+    # written once: numbering looks at the paths and the rows again, and extraction costs far more than writing
+    kept = durable(extracted.where("error IS NULL") if skip_failed else extracted)
     name = F.coalesce(text.file_name_part(F.col("filename")), F.regexp_replace("filename", r"\.[^.]+$", ""))
     return numbered(kept, "path", "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", name.alias("name"), "filename")
 

@@ -5,7 +5,7 @@ import json
 import zipfile
 
 from docrisk import cli
-from docrisk.operators import parsing, rules
+from docrisk.operators import legacy, parsing, profile, rules
 from docrisk.plans import sinks
 from docrisk.sources import codecs, files
 from docrisk.streaming import folder as stream
@@ -96,3 +96,36 @@ def test_stream(spark, tmp_path):
     assert q.exception() is None
     rows = {r["name"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert set(rows) == {"周小舟", "甲", "乙", "坏"} and rows["甲"]["overall"] == 0
+
+
+def test_legacy_workbook_console_and_errors(spark, tmp_path, capsys):
+    rows = legacy.screen(legacy.parse(spark.createDataFrame([(1, TEXT, "周小舟", "a.pdf"), (2, "短", None, None)], SCHEMA)))
+    with open(sinks.legacy_report(rows, str(tmp_path / "l.xlsx")), "rb") as f:
+        got = codecs.xlsx_text(f.read())
+    assert "周小舟" in got and "风险点摘要" in got and "中风险候选人" in got and "触发原文" not in got
+    screened = rules.screen(parsing.parse(spark.createDataFrame([(1, TEXT, "周小舟", "a.pdf"), (2, "短", None, None)], SCHEMA)))
+    lines = sinks.console(screened)
+    assert lines[1] == "总计: 2 份简历" and len(lines) == 7 and "周小舟" in lines[5]
+    stats = sinks.run_json(screened, "o.xlsx", "dbg")["summary_stats"]
+    assert stats["output_files"] == {"report": "o.xlsx", "debug_dir": "dbg"} and stats["usage_note"] and stats["top_medium_candidates"]
+    assert cli.main(["--json", json.dumps([{"text": TEXT}]), "--profile", "legacy", "--output", str(tmp_path / "none" / "x.xlsx")]) == 1
+    assert json.loads(capsys.readouterr().out)["success"] is False
+
+
+def test_pdf_list_to_profiles(spark, tmp_path, capsys):
+    pdf = b"%PDF-1.4\n1 0 obj\n<< /Length 30 >>\nstream\nBT (Hello) Tj T* (World) Tj ET\nendstream\nendobj"
+    (tmp_path / "sub").mkdir()
+    for name in ("b.pdf", "a.PDF", "sub/c.pdf"):
+        (tmp_path / name).write_bytes(pdf)
+    (tmp_path / "d.txt").write_text(TEXT, encoding="utf-8")
+    out = str(tmp_path / "list.json")
+    assert cli.main(["--folder", str(tmp_path), "--pdf-list", out]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)["count"] == 2 and "little text" in said.err
+    assert json.loads((tmp_path / "list.json").read_text()) == [{"name": "a.PDF", "text": "Hello\nWorld"}, {"name": "b", "text": "Hello\nWorld"}]
+    listed = files.json_list(spark, out).selectExpr("monotonically_increasing_id() + 1 AS doc_id", "text", "name", "name AS filename")
+    path = sinks.profile_workbook(profile.extract(listed), str(tmp_path / "p.xlsx"))
+    with open(path, "rb") as f:
+        assert "姓名" in codecs.xlsx_text(f.read())
+    empty = spark.createDataFrame([], "name string, text string")
+    assert sinks.json_list(empty, out) == 0 and (tmp_path / "list.json").read_text() == "[]"
