@@ -1,5 +1,6 @@
 """The text-preparation operators on invented fixtures, against brute force where SQL can't say it."""
 
+import datetime as dt
 import itertools
 import os
 import random
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docrisk.llm import canonical, layout, mixing, mojibake, packing, personal, residue, scan_noise, tokens
+from docrisk.llm import canonical, layout, mixing, mojibake, packing, personal, queries, residue, scan_noise, tokens
 
 TEXT = "field_name string, doc_id long, text string"
 
@@ -151,6 +152,23 @@ def test_mojibake(spark):
     assert all(rows[k] == LINES[1] + "\n" + LINES[0] for k in (101, 102, 103))
 
 
+def test_changed_deliveries_are_read(spark, tmp_path):
+    """Rows of one id, name and file name are one text only if their texts agree; a garbled text behind another one is found."""
+    good = [(i, "\n".join(random.Random(i).sample(LINES, 3)), "n", "f") for i in range(60)]
+    bad = [LINES[1] + "\n" + line.encode().decode("latin-1") for line in LINES]
+    changed = [(0, bad[0], "n", "f"), (100, None, "n", "f"), (100, bad[0], "n", "f"), (101, LINES[0], None, "f"), (101, bad[0], "f", None)]
+    again = [(102, bad[0], "n", "f")] * 3 + [(103, bad[0], "n", "f"), (103, bad[2], "n", "f"), (104, None, "n", "f"), (104, None, "n", "f")] + good[1:9]
+    df = spark.createDataFrame(good + changed + again, "doc_id long, text string, name string, filename string")
+    df.repartition(3).write.parquet(str(tmp_path / "resumes_for_analysis.parquet"))
+    raw = df.withColumnRenamed("text", "raw_text").withColumn("parsed_at", F.lit(dt.datetime(2024, 1, 1)))
+    raw.repartition(3).write.parquet(str(tmp_path / "parsed_resumes.parquet"))
+    texts = queries.resume_texts(spark, str(tmp_path)).collect()
+    rows = {(i, t) for i, t, _, _ in good + changed + again}
+    assert sorted(map(repr, map(tuple, texts))) == sorted(repr((f, *r)) for f in ("text", "raw_text") for r in rows)
+    assert sorted(map(tuple, queries.p5_found(spark, str(tmp_path)).collect())) == [(f, i) for f in ("raw_text", "text") for i in (0, 100, 101, 102, 103)]
+    assert len([1 for r in queries.p5_restored(spark, str(tmp_path)).collect() if r["doc_id"] == 103]) == 4
+
+
 # --- scanned pages ---------------------------------------------------------------------------------
 def test_scan_noise(spark):
     body = ["负责数据平台的任务调度", "使用Kubernetes搭建指标看板", "near-real-time 延迟可控", "整理规范并培训新人"]
